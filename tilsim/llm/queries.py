@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilsim.llm import bpe, mixing, pii, quality_classifier, quality_rules, simhash, toxicity
+from tilsim.llm import bpe, ctw, media, mixing, pii, quality_classifier, quality_rules, simhash, substring, toxicity
 from tilsim.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -42,8 +46,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_quality_classifier, op4_pii, op5_quality_rules, quality_rule_ablation, op6_mixing, op7_simhash, op8_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_quality_classifier, op4_pii, op5_quality_rules, quality_rule_ablation, op6_mixing, op7_simhash, op8_toxicity, op9_lm_scoring, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
