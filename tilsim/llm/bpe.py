@@ -27,7 +27,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for ``re``, on texts without a character that it would class otherwise.
 _PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Beyond so many pre-tokens a worker forgets the ones it has at hand.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Texts that a worker splits into pre-tokens at once.
+SLICE = 256
 
 _M = (1 << 64) - 1
 
@@ -231,10 +233,13 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         c = codec(path)
         given = texts.to_pylist()
-        packed = c.encode([t or "" for t in given])
-        exact = []
-        for t, p in zip(given, packed, strict=True):
-            exact.append(None if t is None else c.decode_all(np.frombuffer(p, "<i4")).tobytes() == t.encode("utf-8", "replace"))
+        packed, exact = [], []
+        for s in range(0, len(given), SLICE):
+            part = given[s : s + SLICE]
+            ids = c.encode([t or "" for t in part])
+            packed += ids
+            for t, p in zip(part, ids, strict=True):
+                exact.append(None if t is None else c.decode_all(np.frombuffer(p, "<i4")).tobytes() == t.encode("utf-8", "replace"))
         offsets = np.zeros(len(given) + 1, np.int32)
         np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4, out=offsets[1:])
         flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
