@@ -203,12 +203,33 @@ def allocate(pairs: np.ndarray, n: int, exact: int = EXACT) -> list[int]:
     return best[need][1]
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in order: how many each partition has, then their 32-bit values."""
+    return np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=PARTITIONS).astype(np.uint32).tobytes() + keys.astype(np.uint32).tobytes()
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    n = np.frombuffer(blob, np.uint32, PARTITIONS)
+    return np.repeat(np.arange(PARTITIONS, dtype=np.uint64) << np.uint64(32), n) | np.frombuffer(blob, np.uint32, offset=4 * PARTITIONS)
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    return ids.astype(np.uint32).tobytes() + (ids >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _unpack_ids(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def _node(m: np.ndarray) -> np.ndarray:
+    """48 bits that stand for a sketch while candidates are sought. Should two sketches
+    share them, both are candidates; what joins documents is compared on whole sketches."""
     w = np.ascontiguousarray(m).view(np.uint64)
     h = _mix(w[:, 0] ^ _K[0])
     for i in range(1, 4):
         h = _mix(h ^ (w[:, i] * _K[i]))
-    return h
+    return h >> np.uint64(16)
 
 
 def probes(m: np.ndarray, order: np.ndarray, thresholds: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,19 +277,19 @@ def _edges(nodes: DataFrame, n: int, order: np.ndarray, thresholds: list[int], d
                     keys, rows = probes(m, order, thresholds)
                     ids = _node(m)[rows]
                     to = (_mix(keys) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(to, kind="stable")
+                by = np.lexsort((keys, to))
                 keys, ids, to = keys[by], ids[by], to[by]
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
                 ends = np.append(cuts[1:], len(to))
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(to[cuts], pa.int64()),
-                    "keys": pa.array([keys[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)], pa.binary()),
-                    "ids": pa.array([ids[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)], pa.binary()),
+                    "keys": pa.array([_pack_keys(keys[x:y]) for x, y in zip(cuts, ends, strict=True)], pa.binary()),
+                    "ids": pa.array([_pack_ids(ids[x:y]) for x, y in zip(cuts, ends, strict=True)], pa.binary()),
                 })
 
     def meet(t: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64)
-        ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.uint64)
+        keys = np.concatenate([_unpack_keys(b) for b in t["keys"].to_pylist()])
+        ids = np.concatenate([_unpack_ids(b) for b in t["ids"].to_pylist()])
         by = np.lexsort((ids, keys))
         keys, ids = keys[by], ids[by]
         first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]) if len(keys) else np.zeros(0, bool)
