@@ -43,14 +43,18 @@ def _joined(*parts: Column) -> Column:
     return F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))
 
 
-def below_thousand(n: Column) -> Column:
+def _hundreds(n: int) -> str:
     """0 to 999 in words; 0 is the empty string."""
-    hundreds = F.floor(n / 100)
-    return _joined(
-        F.when(hundreds == 1, "yüz").when(hundreds > 1, F.concat(_pick(ONES, hundreds), F.lit(" yüz"))).otherwise(""),
-        _pick(TENS, F.floor(n / 10) % 10),
-        _pick(ONES, n % 10),
-    )
+    head = [] if n < 100 else ["yüz"] if n < 200 else [ONES[n // 100], "yüz"]
+    return " ".join(w for w in (*head, TENS[n // 10 % 10], ONES[n % 10]) if w)
+
+
+_BELOW = "|".join(_hundreds(n) for n in range(1000))
+
+
+def below_thousand(n: Column) -> Column:
+    """0 to 999 in words, looked up in a constant array; 0 is the empty string."""
+    return F.element_at(F.split(F.lit(_BELOW), "\\|"), n.cast("int") + 1)
 
 
 def number_words(n: Column) -> Column:

@@ -49,6 +49,7 @@ def readings(surface: Column, roots: Column | None = None, pos: str | None = Non
     if pos is not None and pos not in a.POS:
         raise ValueError(f"unknown part of speech: {pos}")
     kind = f"array<{READING}>"
+    arrow = _arrow_type(kind)
 
     def run(rows: pa.Array) -> pa.Array:
         out = []
@@ -59,7 +60,7 @@ def readings(surface: Column, roots: Column | None = None, pos: str | None = Non
                 continue
             found = a.analyze(s, pos, roots=None if known is None else frozenset(known), max_derivation_depth=max_derivation_depth)
             out.append([_as_dict(i, x) for i, x in enumerate(found)])
-        return pa.array(out, _arrow_type(kind))
+        return pa.array(out, arrow)
 
     run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, kind)(F.struct(surface.alias("s"), *([roots.alias("r")] if roots is not None else [])))

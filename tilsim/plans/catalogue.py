@@ -1,21 +1,417 @@
-"""The driver's query catalogue: queries over the shared tables and their SQL."""
+"""The driver's query catalogue: queries over the shared tables and their SQL.
+
+The shared tables hold no Turkish text, so queries of morphology bring a small seed of
+words of their own; the others run over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilsim.functions import sounds, words
+from tilsim.functions import grammar as g
+from tilsim.operators import analyze, entities, forms, hmm, lemmatize, ranking, spelling
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
-def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("token"))
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(20)
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"token_counts": token_counts}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"token_counts": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 20"}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- SQL of closed sets ------------------------------------------------------------------
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _below_thousand_sql(n: str) -> str:
+    ones, tens = _list(words.ONES), _list(words.TENS)
+    h = f"(({n}) // 100)"
+    return f"concat_ws(' ', CASE WHEN {h} = 1 THEN 'yüz' WHEN {h} > 1 THEN {ones}[{h} + 1] || ' yüz' END, nullif({tens}[(({n}) // 10) % 10 + 1], ''), nullif({ones}[({n}) % 10 + 1], ''))"
+
+
+def _number_sql(n: str) -> str:
+    """Whole numbers from 0 below 10^9 in words."""
+    mill, thou, rest = f"((({n}) // 1000000) % 1000)", f"((({n}) // 1000) % 1000)", f"(({n}) % 1000)"
+    return (
+        f"CASE WHEN ({n}) = 0 THEN 'sıfır' ELSE concat_ws(' ', CASE WHEN {mill} > 0 THEN {_below_thousand_sql(mill)} || ' milyon' END, "
+        f"CASE WHEN {thou} = 1 THEN 'bin' WHEN {thou} > 1 THEN {_below_thousand_sql(thou)} || ' bin' END, nullif({_below_thousand_sql(rest)}, '')) END"
+    )
+
+
+_VOWEL = f"[{sounds.VOWELS}]"
+_LAST_SQL = "regexp_extract({w}, '([aıoueiöü])[^aıoueiöü]*$', 1)"
+_LOW_SQL = "translate(" + _LAST_SQL + ", 'aıoueiöü', 'aaaaeeee')"
+_HIGH_SQL = "translate(" + _LAST_SQL + ", 'aıoueiöü', 'ııuuiiüü')"
+_HARD_SQL = "regexp_matches({w}, '[fstkçşhp]$')"
+_WORDS_SQL = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM documents"
+
+
+def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("pos", "token"))
+
+
+# ---- tokens and numbers ------------------------------------------------------------------
+
+
+@_query(f"SELECT token, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY token ORDER BY n DESC, token LIMIT 20")
+def token_counts(spark, sf_dir):
+    return _token_rows(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(20)
+
+
+@_query("SELECT doc_id, (generate_subscripts(t, 1) - 1)::INT AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r]+') AS t FROM documents)")
+def token_positions(spark, sf_dir):
+    return _token_rows(spark, sf_dir)
+
+
+@_query()
+def tokenize_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words.tokenize(F.col("text"))).alias("pos", "token"))
+
+
+@_query()
+def normalize_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", words.normalize(F.col("text")).alias("normalized"))
+
+
+@_query(f"SELECT o_orderkey, {_number_sql('o_orderkey')} AS in_words, 'eksi ' || {_number_sql('o_orderkey + 1')} AS below FROM orders")
+def number_words_orders(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", words.number_words(F.col("o_orderkey")).alias("in_words"), words.number_words(-F.col("o_orderkey") - 1).alias("below"))
+
+
+@_query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN x.w = '0' THEN 'sıfır' ELSE " + _number_sql("x.w::BIGINT") + " END || ' virgül ' || "
+    f"array_to_string(list_transform(string_split(x.f, ''), lambda d: {_list(('sıfır', *words.ONES[1:]))}[d::INT + 1]), ' ') AS tax_words "
+    "FROM (SELECT l_orderkey, l_linenumber, split_part(l_tax::VARCHAR, '.', 1) AS w, split_part(l_tax::VARCHAR, '.', 2) AS f FROM lineitem) x"
+)
+def float_words_lineitem(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", words.float_words(F.col("l_tax")).alias("tax_words"))
+
+
+@_query(f"SELECT o_orderkey, {_number_sql('day(o_orderdate)')} || ' ' || {_list(words.MONTHS)}[month(o_orderdate)] || ' ' || {_number_sql('year(o_orderdate)')} AS in_words FROM orders")
+def date_words_orders(spark, sf_dir):
+    d = F.col("o_orderdate")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", words.date_words(F.dayofmonth(d), F.month(d), F.year(d)).alias("in_words"))
+
+
+@_query(f"SELECT event_id, CASE WHEN minute(ts) = 0 THEN {_number_sql('hour(ts)')} ELSE {_number_sql('hour(ts)')} || ' ' || {_number_sql('minute(ts)')} END AS in_words FROM events")
+def time_words_events(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", words.time_words(F.hour("ts"), F.minute("ts")).alias("in_words"))
+
+
+_ABBREVIATION_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in words.ABBREVIATIONS.items())
+
+
+@_query(
+    f"""WITH a(short, long) AS (VALUES {_ABBREVIATION_ROWS}), p AS (SELECT p_partkey, {_list([*words.ABBREVIATIONS, "KM", "tl", "Foo"])}[p_partkey % {len(words.ABBREVIATIONS) + 3} + 1] AS token FROM part)
+    SELECT p_partkey, token, coalesce(x.long, y.long, token) AS expanded FROM p LEFT JOIN a x ON x.short = token LEFT JOIN a y ON y.short = upper(token)"""
+)
+def abbreviation_expand(spark, sf_dir):
+    some = F.array(*map(F.lit, [*words.ABBREVIATIONS, "KM", "tl", "Foo"]))
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.element_at(some, (F.col("p_partkey") % len([*words.ABBREVIATIONS, 1, 1, 1]) + 1).cast("int")).alias("token"))
+    return p.select("p_partkey", "token", words.expand_abbreviation(F.col("token")).alias("expanded"))
+
+
+# ---- sounds ------------------------------------------------------------------------------
+
+
+@_query(f"SELECT token, last, length(regexp_replace(token, '[^{sounds.VOWELS}]', '', 'g')) AS n_vowels, count(*) AS n FROM (SELECT token, nullif({_LAST_SQL.format(w='token')}, '') AS last FROM ({_WORDS_SQL})) GROUP BY ALL")
+def vowel_stats(spark, sf_dir):
+    t = _token_rows(spark, sf_dir).select("token", sounds.last_vowel(F.col("token")).alias("last"), F.regexp_count("token", F.lit(_VOWEL)).cast("bigint").alias("n_vowels"))
+    return t.groupBy("token", "last", "n_vowels").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"SELECT c_custkey, nullif({_LOW_SQL.format(w='lower(c_mktsegment)')}, '') AS low, nullif({_HIGH_SQL.format(w='lower(c_mktsegment)')}, '') AS high, {_HARD_SQL.format(w='lower(c_mktsegment)')} AS hard FROM customer")
+def harmony_class(spark, sf_dir):
+    w = F.lower("c_mktsegment")
+    return _table(spark, sf_dir, "customer").select("c_custkey", sounds.low_vowel(w).alias("low"), sounds.high_vowel(w).alias("high"), sounds.hardens(w).alias("hard"))
+
+
+@_query("SELECT token, greatest(length(regexp_replace(token, '[^aeıioöuüâîû]', '', 'g')), 1) AS n_syllables, greatest(length(regexp_replace(token, '[^aeıioöuüâîû]', '', 'g')), 1) - 1 AS stressed FROM (SELECT DISTINCT token FROM (" + _WORDS_SQL + f")) WHERE token NOT IN ({', '.join(repr(w) for w in sounds.STRESS)})")
+def syllable_counts(spark, sf_dir):
+    t = _token_rows(spark, sf_dir).select("token").distinct().filter(~F.col("token").isin(*sounds.STRESS))
+    return t.select("token", F.size(sounds.syllables(F.col("token"))).cast("bigint").alias("n_syllables"), sounds.stress(F.col("token")).cast("bigint").alias("stressed"))
+
+
+@_query()
+def stress_marks(spark, sf_dir):
+    return _token_rows(spark, sf_dir).select("token").distinct().select("token", sounds.stress_mark(F.col("token")).alias("marked"))
+
+
+@_query()
+def ipa_tokens(spark, sf_dir):
+    return _token_rows(spark, sf_dir).select("token").distinct().select("token", sounds.ipa(F.col("token")).alias("ipa"))
+
+
+# ---- particles and reduplication ---------------------------------------------------------
+
+
+@_query("SELECT n_nationkey, lower(n_name) || ' ' || lower(n_name) AS doubled FROM nation")
+def reduplicate_full(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", forms.form("full_reduplicate", F.lower("n_name")).alias("doubled"))
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_name LIKE 'M%' THEN NULL WHEN regexp_matches(lower(n_name), '^[aeıioöuü]') THEN lower(n_name) || ' m' || lower(n_name) ELSE lower(n_name) || ' m' || substr(lower(n_name), 2) END AS doubled FROM nation")
+def m_reduplicate(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", forms.form("m_reduplicate", F.lower("n_name")).alias("doubled"))
+
+
+@_query("""SELECT r_regionkey, CASE WHEN n = 1 THEN names[1] ELSE array_to_string(names[1:n - 1], ', ') || ' ve ' || names[n] END AS names FROM
+    (SELECT n_regionkey AS r_regionkey, list(n_name ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY ALL)""")
+def coordinate_names(spark, sf_dir):
+    lists = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    return lists.select("r_regionkey", forms.form("coordinate", "names", conj="ve").alias("names"))
+
+
+@_query(f"SELECT n_nationkey, lower(n_name) || CASE WHEN {_LAST_SQL.format(w='lower(n_name)')} IN ('a', 'ı', 'o', 'u') THEN ' da' ELSE ' de' END AS joined FROM nation")
+def conjoin_de_da(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", forms.form("conjoin", F.lower("n_name"), conj="de").alias("joined"))
+
+
+def _numeral_sql(after_vowel: str, after_consonant: str) -> str:
+    w = "w"
+    voiced = f"CASE WHEN {w} LIKE '%t' THEN left({w}, length({w}) - 1) || 'd' ELSE {w} END"
+    parts = {"I": _HIGH_SQL.format(w=w), "A": _LOW_SQL.format(w=w)}
+    build = lambda template: " || ".join(parts.get(c, f"'{c}'") for c in template)
+    return f"CASE WHEN regexp_matches({w}, '[aıoueiöü]$') THEN {w} || {build(after_vowel)} ELSE {voiced} || {build(after_consonant)} END"
+
+
+_DAYS_SQL = f"SELECT o_orderkey, {_number_sql('day(o_orderdate)')} AS w FROM orders"
+
+
+@_query(f"SELECT o_orderkey, {_numeral_sql('ncI', 'IncI')} AS nth FROM ({_DAYS_SQL})")
+def ordinal_dayofmonth(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", forms.form("ordinal", words.number_words(F.dayofmonth("o_orderdate"))).alias("nth"))
+
+
+@_query(f"SELECT o_orderkey, {_numeral_sql('şAr', 'Ar')} AS each_of FROM ({_DAYS_SQL})")
+def distributive_dayofmonth(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", forms.form("distributive", words.number_words(F.dayofmonth("o_orderdate"))).alias("each_of"))
+
+
+# ---- morphology over a seed --------------------------------------------------------------
+
+#: Nouns without alternations, whose suffixes SQL can spell out.
+_NOUNS = "araba ay bina cadde defter deniz dünya el ev gece göl göz hafta kalem kapı kız köy kuş masa okul orman para pencere ses sıra şoför top tuz ütü yol".split()
+_VERBS = "almak bakmak bulmak çalışmak dinlemek gelmek görmek gülmek kalmak konuşmak okumak sevmek sormak süpürmek uyumak yazmak".split()
+
+
+def _seed(spark: SparkSession, values: list[str], name: str = "lemma") -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def _seed_sql(values: list[str]) -> str:
+    return f"(SELECT unnest({_list(values)}) AS w)"
+
+
+def _suffix_sql(template: str, w: str = "w") -> str:
+    vowel = f"regexp_matches({w}, '[aıoueiöü]$')"
+    low, high, hard = _LOW_SQL.format(w=w), _HIGH_SQL.format(w=w), _HARD_SQL.format(w=w)
+    flat = f"translate({low}, 'ae', 'ıi')"
+    out, i = [], 0
+    while i < len(template):
+        c, optional = template[i], template[i + 1 : i + 2] == "~"
+        i += 2 if optional else 1
+        sound = {"A": low, "I": high, "H": flat, "D": f"CASE WHEN {hard} THEN 't' ELSE 'd' END", "C": f"CASE WHEN {hard} THEN 'ç' ELSE 'c' END"}.get(c, f"'{c}'")
+        if optional:
+            sound = f"CASE WHEN {'NOT ' if c == 'I' else ''}{vowel} THEN {sound} ELSE '' END"
+        out.append(f"({sound})")
+    return " || ".join([w, *out])
+
+
+_DECLINED = {"acc": "y~I", "dat": "y~A", "loc": "DA", "abl": "DAn", "gen": "n~In", "ins": "y~lA", "pl.nom": "lAr", "poss.1sg": "I~m", "poss.3sg": "s~I", "poss.1pl": "I~mIz", "poss.3pl": "lArH"}
+
+
+@_query(" UNION ALL ".join(f"SELECT w AS lemma, '{k}' AS cell_key, {_suffix_sql(t)} AS form FROM {_seed_sql(_NOUNS)}" for k, t in _DECLINED.items()))
+def decline_seed(spark, sf_dir):
+    return forms.paradigm_noun(_seed(spark, _NOUNS)).filter(F.col("cell_key").isin(*_DECLINED))
+
+
+_ROOTS_SQL = f"(SELECT l, left(l, length(l) - 3) AS w FROM (SELECT unnest({_list(_VERBS)}) AS l))"
+_CONJUGATED = {"past.1sg": "DIm", "past.3sg": "DI", "past.1pl": "DIk", "past.3pl": "DIlAr", "evid.3sg": "mIş", "evid.2sg": "mIşsIn", "cond.1sg": "sAm", "fut.3sg": "y~AcAk", "necess.3sg": "mAlH", "imp.3sg": "sIn", "neg.past.3sg": "mAdH", "conv_arak": "y~ArAk", "part_dik": "DIğI"}
+
+
+@_query(" UNION ALL ".join(f"SELECT l AS lemma, '{k}' AS cell_key, {_suffix_sql(t)} AS form FROM {_ROOTS_SQL}" for k, t in _CONJUGATED.items()))
+def conjugate_seed(spark, sf_dir):
+    return forms.paradigm(_seed(spark, _VERBS)).filter(F.col("cell_key").isin(*_CONJUGATED))
+
+
+@_query()
+def conjugate_paradigm(spark, sf_dir):
+    return forms.paradigm(_seed(spark, _VERBS))
+
+
+@_query()
+def decline_paradigm(spark, sf_dir):
+    return forms.paradigm_noun(_seed(spark, _NOUNS))
+
+
+@_query(
+    " UNION ALL ".join(
+        f"SELECT w AS lemma, '-{t}{'-' if verb else ''}' AS suffix, {_suffix_sql(t)}{' || ' + _quote if verb else ''} AS form, {str(verb).upper()} AS is_verb FROM {_seed_sql(_NOUNS)}"
+        for t, verb, _quote in (("lIk", False, ""), ("CI", False, ""), ("lI", False, ""), ("sIz", False, ""), ("DAş", False, ""), ("CA", False, ""), ("sAl", False, ""), ("lA", True, "'m' || " + _LOW_SQL.format(w="w") + " || 'k'"))
+    )
+)
+def derivations_seed(spark, sf_dir):
+    made = forms.derivations(_seed(spark, _NOUNS).withColumn("pos", F.lit("noun")))
+    return made.filter(F.col("suffix").isin("-lIk", "-CI", "-lI", "-sIz", "-DAş", "-CA", "-sAl", "-lA-")).drop("category")
+
+
+_LEXICON = [(v, "verb") for v in _VERBS] + [(n, "noun") for n in _NOUNS] + [("güzel", "adj"), ("iki", "num"), ("ben", "pron"), ("biz", "pron")]
+_SENTENCES = ["Biz okula geldik.", "Kızın kalemi masada mı?", "iki deniz gördüm", "Ben evdeyken uyudun.", "Gözlükçü yoldan bakıyor", "Ali Ankara'ya gelecekmiş", "Mustafa Kemal Atatürk"]
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_LEXICON, "lemma string, pos string")
+
+
+def _sentences(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_SENTENCES)), "sent_id int, text string")
+
+
+@_query()
+def analyze_seed(spark, sf_dir):
+    rows = analyze.reading_rows(analyze.parse_text(_sentences(spark), _lexicon(spark), "sent_id", max_derivation_depth=2))
+    return rows.select("sent_id", "idx", "token", "ord", "lemma", "pos", "kind", "axes_text", F.array_join(F.transform("segments", lambda s: s["surface"]), "+").alias("parts"), "hypothetical")
+
+
+@_query()
+def rank_in_context_seed(spark, sf_dir):
+    tokens = analyze.parse_text(_sentences(spark), _lexicon(spark), "sent_id")
+    ranked = ranking.rank_in_context(tokens.select("sent_id", "idx", "token"), analyze.reading_rows(tokens), pos=_lexicon(spark))
+    return ranked.select("sent_id", "idx", "token", "rank", "evidence", "lemma", "kind", "axes_text")
+
+
+@_query()
+def confidence_seed(spark, sf_dir):
+    rows = analyze.reading_rows(analyze.parse_text(_sentences(spark), _lexicon(spark), "sent_id"))
+    return ranking.disambiguate(rows, ["sent_id", "idx"], pos=_lexicon(spark)).select("sent_id", "idx", "rank", "lemma", "kind", F.round("confidence", 6).alias("confidence"))
+
+
+@_query()
+def lemmatize_seed(spark, sf_dir):
+    return lemmatize.lemmatize_text(_sentences(spark), _lexicon(spark), id_col="sent_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@_query()
+def spelling_seed(spark, sf_dir):
+    return spelling.check(_seed(spark, ["kalm", "gozluk", "denız", "evde", "koy", "masa"], "word"), _lexicon(spark))
+
+
+@_query()
+def entity_spans_seed(spark, sf_dir):
+    return entities.tag(_sentences(spark), _lexicon(spark), "sent_id")
+
+
+@_query()
+def entity_spans_documents(spark, sf_dir):
+    return entities.tag(_table(spark, sf_dir, "documents"))
+
+
+@_query("SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a JOIN part b ON levenshtein(a.p_name, b.p_name) <= 1 AND a.p_partkey < b.p_partkey")
+def similar_names(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    near = spelling.similar(p, p, 1.0, "p_name", "p_name")
+    pairs = near.join(p.select(F.col("p_partkey").alias("left_key"), F.col("p_name").alias("word")), "word").join(p.select(F.col("p_partkey").alias("right_key"), F.col("p_name").alias("lemma")), "lemma")
+    return pairs.filter("left_key < right_key").select("left_key", "right_key")
+
+
+# ---- counting, windows and decoding over whole tables ------------------------------------
+
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens tagged by their length class: S up to 3 letters, M up to 6, L beyond."""
+    n = F.length("token")
+    return _token_rows(spark, sf_dir).select(F.col("doc_id").alias("sent_id"), F.col("pos").alias("idx"), F.col("token").alias("surface"), F.when(n <= 3, "S").when(n <= 6, "M").otherwise("L").alias("pos"))
+
+
+_CLASS_SQL = "(SELECT doc_id AS sent_id, idx, surface, CASE WHEN length(surface) <= 3 THEN 'S' WHEN length(surface) <= 6 THEN 'M' ELSE 'L' END AS pos FROM (SELECT doc_id, generate_subscripts(t, 1) - 1 AS idx, unnest(t) AS surface FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r]+') AS t FROM documents)))"
+_EMITTED_SQL = f"(SELECT pos, surface, count(*) AS n FROM {_CLASS_SQL} GROUP BY ALL)"
+_PAIRS_SQL = f"""(SELECT prev, next, count(*) AS n FROM (
+    SELECT coalesce(lag(pos) OVER (PARTITION BY sent_id ORDER BY idx), '<S>') AS prev, pos AS next FROM {_CLASS_SQL}
+    UNION ALL SELECT pos, '</S>' FROM (SELECT pos, lead(pos) OVER (PARTITION BY sent_id ORDER BY idx) AS after FROM {_CLASS_SQL}) WHERE after IS NULL) GROUP BY ALL)"""
+
+
+@_query(_EMITTED_SQL[1:-1])
+def emission_counts(spark, sf_dir):
+    return hmm.emission_counts(_tagged(spark, sf_dir))
+
+
+@_query(_PAIRS_SQL[1:-1])
+def transition_counts(spark, sf_dir):
+    return hmm.transition_counts(_tagged(spark, sf_dir))
+
+
+@_query(f"SELECT pos, surface, round(ln((n + 1e-9) / (sum(n) OVER (PARTITION BY pos) + count(*) OVER (PARTITION BY pos) * 1e-9)), 9) AS log_prob FROM {_EMITTED_SQL} WHERE n >= 2")
+def emission_logprob(spark, sf_dir):
+    return hmm.log_probabilities(hmm.emission_counts(_tagged(spark, sf_dir)), "pos", least=2).withColumn("log_prob", F.round("log_prob", 9))
+
+
+@_query(f"SELECT prev, next, round(ln((n + 1e-9) / (sum(n) OVER (PARTITION BY prev) + count(*) OVER (PARTITION BY prev) * 1e-9)), 9) AS log_prob FROM {_PAIRS_SQL}")
+def transition_logprob(spark, sf_dir):
+    return hmm.log_probabilities(hmm.transition_counts(_tagged(spark, sf_dir)), "prev").withColumn("log_prob", F.round("log_prob", 9))
+
+
+@_query()
+def viterbi_conversations(spark, sf_dir):
+    em = hmm.log_probabilities(hmm.emission_counts(_tagged(spark, sf_dir)), "pos", least=2)
+    tr = hmm.log_probabilities(hmm.transition_counts(_tagged(spark, sf_dir)), "prev")
+    tokens = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sent_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("idx", "surface"))
+    return hmm.viterbi(tokens.withColumn("candidates", F.array(F.lit("S"), F.lit("M"), F.lit("L"))), em, tr)
+
+
+@_query("""WITH t AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r]+') AS t FROM documents)),
+    p AS (SELECT token AS first, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS second FROM t)
+    SELECT first, second, count(*) AS n FROM p WHERE second IS NOT NULL GROUP BY ALL ORDER BY n DESC, first, second LIMIT 100""")
+def bigram_counts(spark, sf_dir):
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))
+    pairs = _table(spark, sf_dir, "documents").select(tokens.alias("t")).select(F.inline(F.arrays_zip(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))).alias("first"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("second"))))
+    return pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "first", "second").limit(100)
+
+
+@_query("SELECT source, token, n, rank FROM (SELECT source, token, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, token)::INT AS rank FROM (SELECT source, token, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM documents) GROUP BY ALL)) WHERE rank <= 5")
+def topk_per_group(spark, sf_dir):
+    t = _table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("token"))
+    counts = t.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "token"))).filter("rank <= 5")
+
+
+@_query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearest FROM events")
+def nearest_left_context(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return _table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("nearest"))
+
+
+@_query("""SELECT conv_id, island, min(turn) AS first_turn, count(*) AS n_turns FROM (
+    SELECT conv_id, turn, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS island FROM (
+    SELECT conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS starts FROM conversations)) GROUP BY ALL""")
+def role_islands(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _table(spark, sf_dir, "conversations").withColumn("starts", (~F.col("role").eqNullSafe(F.lag("role").over(w))).cast("int"))
+    t = t.withColumn("island", F.sum("starts").over(w))
+    return t.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_turns"))
