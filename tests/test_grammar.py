@@ -107,3 +107,46 @@ def test_readings():
     assert all(r.hypothetical for r in a.analyze("kitap") if r.kind == "decline")
     with pytest.raises(ValueError):
         a.analyze(" ")
+
+
+def tree_of(text, roots, adjectives=()):
+    from tilsim.functions import phrases
+
+    leaves = []
+    for token in text.split():
+        found = [r for r in a.analyze(token.lstrip("'"), roots=roots) if not r.hypothetical]
+        best = min(found, key=lambda r: (r.kind not in ("decline", "conjugate"), len(r.parts), r.order), default=None)
+        reading = best and {"lemma": best.lemma, "pos": best.pos, "kind": best.kind, "axes": best.axes}
+        leaves.append(phrases.leaf(token, reading, "adj" if best and best.lemma in adjectives else None))
+    return phrases.parse(leaves)
+
+
+TREES = {
+    "çocuk okula gitti": "(S (NP (NOUN çocuk)) (VP (NP (NOUN okula)) (VERB gitti)))",
+    "büyük ev": "(NP (ADJ büyük) (NOUN ev))",
+    "evin kapısı": "(NP (NOUN evin) (NOUN kapısı))",
+    "ev ve okul": "(CoordP (NP (NOUN ev)) (CCONJ ve) (NP (NOUN okul)))",
+    "eve göre": "(PP (NP (NOUN eve)) (ADP göre))",
+    "kapı mapı": "(NP (NOUN kapı) (MRED mapı))",
+    "Ali 'nin evi": "(NP (NOUN Ali'nin) (NOUN evi))",
+}
+
+
+@pytest.mark.parametrize("text", TREES)
+def test_trees(text):
+    from tilsim.functions import phrases
+
+    tree = tree_of(text, {"çocuk", "okul", "gitmek", "ev", "kapı", "büyük"}, {"büyük"})
+    assert tree.bracketed() == TREES[text]
+    rows = phrases.dependencies(tree)
+    assert sum(r["head"] == 0 for r in rows) == 1 and all(0 <= r["head"] <= len(rows) and r["head"] != r["id"] for r in rows)
+    nodes = phrases.flat(tree)
+    assert nodes[0]["parent_id"] is None and all(n["parent_id"] < n["node_id"] for n in nodes[1:])
+
+
+def test_dependencies():
+    from tilsim.functions import phrases
+
+    rows = phrases.dependencies(tree_of("çocuk okula gitti", {"çocuk", "okul", "gitmek"}))
+    assert [(r["form"], r["head"], r["deprel"]) for r in rows] == [("çocuk", 3, "nsubj"), ("okula", 3, "obl"), ("gitti", 0, "root")]
+    assert rows[1]["feats"] == "Case=Dat|Number=Sing" and rows[2]["feats"] == "Number=Sing|Person=3|Tense=Past"

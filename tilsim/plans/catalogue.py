@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tilsim.functions import sounds, words
 from tilsim.functions import grammar as g
-from tilsim.operators import analyze, entities, forms, hmm, lemmatize, ranking, spelling
+from tilsim.operators import analyze, entities, forms, hmm, lemmatize, ranking, spelling, syntax
+from tilsim.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -327,6 +328,22 @@ def entity_spans_seed(spark, sf_dir):
     return entities.tag(_sentences(spark), _lexicon(spark), "sent_id")
 
 
+@_query()
+def parse_seed(spark, sf_dir):
+    return syntax.tree_rows(syntax.parse(_sentences(spark), _lexicon(spark), _lexicon(spark)))
+
+
+@_query()
+def dependency_seed(spark, sf_dir):
+    return syntax.dependency_rows(syntax.parse(_sentences(spark), _lexicon(spark), _lexicon(spark)))
+
+
+@_query()
+def conllu_seed(spark, sf_dir):
+    rows = dependency_seed(spark, sf_dir).join(_sentences(spark), "sent_id")
+    return tables.conllu(rows)
+
+
 @_query()
 def entity_spans_documents(spark, sf_dir):
     return entities.tag(_table(spark, sf_dir, "documents"))
