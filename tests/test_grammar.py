@@ -150,3 +150,12 @@ def test_dependencies():
     rows = phrases.dependencies(tree_of("çocuk okula gitti", {"çocuk", "okul", "gitmek"}))
     assert [(r["form"], r["head"], r["deprel"]) for r in rows] == [("çocuk", 3, "nsubj"), ("okula", 3, "obl"), ("gitti", 0, "root")]
     assert rows[1]["feats"] == "Case=Dat|Number=Sing" and rows[2]["feats"] == "Number=Sing|Person=3|Tense=Past"
+
+
+def test_layers_upon_layers():
+    first = lambda s, roots, depth=1: [(r.lemma, r.kind, r.axes) for r in a.analyze(s, roots=roots, max_derivation_depth=depth)]
+    assert first("evdekiler", {"ev"}) == [("ev", "with_ki", {"number": "pl", "ki_case": "loc"})]
+    assert first("yazdırıcı", {"yazmak"}) == [("yazmak", "derivation", {"suffix": "-IcI", "src_pos": "verb", "voice_chain": ("caus",)})]
+    assert ("okumak", "participle", {"ptype": "mak", "voice_chain": ("caus",)}) in first("okutmak", {"okumak"})
+    assert first("güzelleşti", {"güzel"}) == [("güzel", "conjugate", {"tense": "past", "person": "3sg", "derivation": "-lAş-"})]
+    assert first("kitapçıdan", {"kitap"}, 2) == [("kitap", "derivation", {"suffix": "-CI", "src_pos": "noun", "case": "abl"})]

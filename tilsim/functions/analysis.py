@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -405,6 +405,66 @@ def _phrase(tokens: list[str], roots: Collection[str] | None) -> list[Reading]:
     return sorted(_distinct(out), key=lambda r: r.order)
 
 
+# ---- layers upon layers ------------------------------------------------------------------
+
+_VOICED = re.compile("[ıiuü][lnrşt]$")
+
+
+def _stacked(token: str, form: str, core: list[Reading], extra: Callable[[Reading], dict], whole: bool) -> Iterator[Reading]:
+    """Noun forms of ``form``, itself formed as ``core`` says, that give the token."""
+    for made, axes in _nominals(token, form):
+        if made == token and axes:
+            parts = _noun_parts(token, form, axes)
+            for r in core:
+                yield Reading(r.lemma, r.pos, r.kind, {**r.axes, **axes} if whole else {**axes, **extra(r)}, parts, r.hypothetical, r.chain)
+
+
+def _inflected_derivations(token: str, roots: Collection[str], depth: int) -> Iterator[Reading]:
+    for form in root_candidates(token):
+        if form != token:
+            core = [_derived(form, stem, lemma, s, False) for stem, lemma, s in strip_suffix(form) if lemma in roots]
+            core += [r for r in _chains(form, roots, depth) if not r.hypothetical]
+            yield from _stacked(token, form, core, lambda r: {}, True) if core else ()
+
+
+def _inflected_ki(token: str, roots: Collection[str]) -> Iterator[Reading]:
+    for form in root_candidates(token):
+        if form != token and re.search("k[ıiuü]$", form):
+            core = [r for base in root_candidates(form) if base in roots for r in _noun_readings(form, base, False) if r.kind == "with_ki"]
+            named = lambda r: {"ki_case": r.axes["case"]} | ({"ki_possessive": r.axes["possessive"]} if "possessive" in r.axes else {})
+            yield from _stacked(token, form, core, named, False) if core else ()
+
+
+def _voiced_root(stem: str, roots: Collection[str]) -> tuple[str, tuple[str, ...]] | None:
+    """The verb and the voices that make a bare voiced stem."""
+    found = [r for lemma in root_candidates(stem) if lemma in roots and _is_verb(lemma) for r in _verb_readings(stem, lemma, False) if r.axes.get("tense") == "imp" and r.axes.get("voice_chain")]
+    best = min(found, key=lambda r: r.order, default=None)
+    return best and (best.lemma, best.axes["voice_chain"])
+
+
+def _voiced_derivations(token: str, roots: Collection[str]) -> Iterator[Reading]:
+    for stem, _, s in strip_suffix(token):
+        if s.source == "verb" and _VOICED.search(stem) and (found := _voiced_root(stem, roots)):
+            axes = {"suffix": s.label, "src_pos": "verb", "voice_chain": found[1]}
+            yield Reading(found[0], g.derived_pos(s), "derivation", axes, [(stem, "kök"), (token[len(stem) :], s.label)])
+
+
+def _voiced_participles(token: str, roots: Collection[str]) -> Iterator[Reading]:
+    for lemma in root_candidates(token):
+        if _is_verb(lemma) and _VOICED.search(lemma[:-3]) and token.startswith(lemma[:-4]) and (found := _voiced_root(lemma[:-3], roots)):
+            for r in _verb_readings(token, lemma, False):
+                if r.kind == "participle":
+                    yield Reading(found[0], "verb", "participle", {**r.axes, "voice_chain": found[1]}, r.parts)
+
+
+def _derived_verbs(token: str, roots: Collection[str]) -> Iterator[Reading]:
+    for lemma in root_candidates(token):
+        if _is_verb(lemma) and token.startswith(lemma[:-4]):
+            base = next(((b, s.label) for _, b, s in strip_suffix(lemma) if s.label in ("-lAş-", "-lAn-") and b in roots), None)
+            for axes in _conjugations(token, lemma, False) if base else ():
+                yield Reading(base[0], "verb", "conjugate", {**axes, "derivation": base[1]}, _verb_parts(token, lemma, axes))
+
+
 def analyze(surface: str, pos: str | None = None, *, roots: Collection[str] | None = None, max_derivation_depth: int = 1) -> list[Reading]:
     """Readings in their fixed order: inflections sorted, then the other kinds as found.
     With ``roots`` only their lemmas count; without, readings are hypothetical."""
@@ -436,7 +496,23 @@ def analyze(surface: str, pos: str | None = None, *, roots: Collection[str] | No
                 out.append(_derived(token, stem, lemma, s, hyp))
         if max_derivation_depth > 1:
             out += _chains(token, roots, max_derivation_depth)
-    return out
+    if roots is None:
+        return out
+    more: list[Reading] = []
+    if max_derivation_depth > 1 and pos in (None, "noun", "adj"):
+        more += _inflected_derivations(token, roots, max_derivation_depth)
+    if pos in (None, "noun"):
+        more += _inflected_ki(token, roots)
+    if pos in (None, "noun", "adj"):
+        more += _voiced_derivations(token, roots)
+    if pos in (None, "noun", "verb", "adj"):
+        more += _voiced_participles(token, roots)
+    if pos in (None, "verb"):
+        more += _derived_verbs(token, roots)
+    seen: dict[tuple, Reading] = {}
+    for r in more:
+        seen.setdefault((r.lemma, r.kind, repr(sorted(r.axes.items())), tuple(x.lemma for x in r.chain)), r)
+    return out + list(seen.values())
 
 
 def lemma_candidates(surface: str, max_derivation_depth: int = 1) -> list[str]:

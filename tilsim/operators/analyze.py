@@ -17,6 +17,7 @@ from tilsim.functions.words import tokenize
 _AXES = {
     "tense": "string", "person": "string", "negative": "boolean", "ability": "boolean", "question": "boolean", "aux": "string", "aspect": "string", "voice_chain": "array<string>",
     "number": "string", "possessive": "string", "case": "string", "converb_kind": "string", "base": "string", "ptype": "string", "suffix": "string", "src_pos": "string",
+    "ki_case": "string", "ki_possessive": "string", "derivation": "string",
 }
 _SEGMENTS = "array<struct<surface:string,label:string,start:int,end:int>>"
 _LEAF = f"struct<lemma:string,pos:string,kind:string,suffix:string,src_pos:string,segments:{_SEGMENTS},hypothetical:boolean>"
