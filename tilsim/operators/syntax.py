@@ -63,3 +63,52 @@ def tree_rows(parsed: DataFrame, id_col: str = "sent_id") -> DataFrame:
 def dependency_rows(parsed: DataFrame, id_col: str = "sent_id") -> DataFrame:
     """What :func:`tilsim.sources.tables.conllu` writes."""
     return parsed.select(id_col, F.inline("tokens"))
+
+
+_ELEMENT = "struct<label:string,tokens:array<string>,head_id:int,aliases:array<string>>"
+_SENTENCE = (
+    f"struct<elements:array<{_ELEMENT}>,sentence_type:struct<yuklem_turu:string,yuklem_yeri:string,olumluluk:string,soru:boolean,kip:string,yapi:string,eksiltili:boolean>,"
+    f"clauses:array<struct<role:string,elements:array<{_ELEMENT}>,predicate_id:int,connector:string>>>"
+)
+
+
+def analyze_sentences(texts: DataFrame, roots: DataFrame, lexicon: DataFrame | None = None, freq: DataFrame | None = None, id_col: str = "sent_id", text: str = "text") -> DataFrame:
+    """``<id_col>, elements, sentence_type, clauses`` per sentence.
+
+    Of each token's readings with known lemmas the best goes on, and the first finite verb
+    beside it; with ``freq`` a frequent verb may take a bare noun's place. ``lexicon``
+    (lemma, pos) tells adjectives, adverbs, numerals and determiners.
+    """
+    from tilsim.functions import sentences
+    from tilsim.functions.words import tr_lower
+    from tilsim.operators.entities import ORGANISATIONS, PERSONS, PLACES
+
+    tokens = an.parse_text(texts, roots, id_col, text)
+    rows = an.reading_rows(tokens).filter(~F.col("hypothetical"))
+    fields = F.struct("lemma", "pos", "kind", "axes")
+    ranked = ranking.rank(rows, [id_col, "idx"], freq, None, prefer_inflected=True)
+    best = ranked.groupBy(id_col, "idx").agg(F.min_by(fields, "rank").alias("best"), F.min_by(F.when(F.col("kind") == "conjugate", fields), F.when(F.col("kind") == "conjugate", F.col("ord"))).alias("verb"))
+    joined = tokens.select(id_col, "idx", F.col("token").alias("surface")).join(best, [id_col, "idx"], "left")
+    if lexicon is not None:
+        known = lexicon.groupBy("lemma").agg(F.max("pos").alias("p"))
+        joined = joined.withColumn("__l", F.col("best.lemma")).withColumn("__s", tr_lower(F.col("surface")))
+        joined = joined.join(known.select(F.col("lemma").alias("__l"), F.col("p").alias("__p1")), "__l", "left").join(known.select(F.col("lemma").alias("__s"), F.col("p").alias("__p2")), "__s", "left")
+        joined = joined.withColumn("lexicon_pos", F.coalesce("__p1", "__p2"))
+    else:
+        joined = joined.withColumn("lexicon_pos", F.lit(None).cast("string"))
+    lines = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "surface", "best", "verb", "lexicon_pos")), _by_idx).alias("line"))
+    arrow, names = an._arrow_type(_SENTENCE), frozenset((*PERSONS, *PLACES, *ORGANISATIONS))
+
+    def bare(r: dict | None) -> dict | None:
+        return r and {**r, "axes": {k: v for k, v in r["axes"].items() if v is not None}}
+
+    def run(given: pa.Array) -> pa.Array:
+        as_dict = lambda e: {"label": e.label, "tokens": list(e.tokens), "head_id": e.head_id, "aliases": list(e.aliases)}
+        out = []
+        for line in given.to_pylist():
+            a = sentences.analyze([{**t, "best": bare(t["best"]), "verb": bare(t["verb"])} for t in line], names)
+            out.append({"elements": [as_dict(e) for e in a["elements"]], "sentence_type": a["sentence_type"], "clauses": [{**c, "elements": [as_dict(e) for e in c["elements"]]} for c in a["clauses"]]})
+        return pa.array(out, arrow)
+
+    run.__annotations__ = {"given": pa.Array, "return": pa.Array}
+    return lines.select(id_col, F.arrow_udf(run, _SENTENCE)("line").alias("m")).select(id_col, "m.*")

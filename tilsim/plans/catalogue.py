@@ -344,6 +344,18 @@ def conllu_seed(spark, sf_dir):
     return tables.conllu(rows)
 
 
+@_query()
+def sentence_elements_seed(spark, sf_dir):
+    made = syntax.analyze_sentences(_sentences(spark), _lexicon(spark), _lexicon(spark))
+    return made.select("sent_id", "sentence_type.*", F.inline("elements")).withColumn("tokens", F.array_join("tokens", " ")).drop("aliases")
+
+
+@_query()
+def clauses_seed(spark, sf_dir):
+    made = syntax.analyze_sentences(_sentences(spark), _lexicon(spark), _lexicon(spark))
+    return made.select("sent_id", F.posexplode("clauses").alias("clause", "c")).select("sent_id", "clause", "c.role", "c.predicate_id", "c.connector", F.size("c.elements").alias("n_elements"))
+
+
 @_query()
 def entity_spans_documents(spark, sf_dir):
     return entities.tag(_table(spark, sf_dir, "documents"))
