@@ -19,7 +19,7 @@ KINDS = (
     *"intensify diminutive ordinal distributive conjunction derivation".split(),
     *(f"reduplication_{x}" for x in ("full", "converb", "m")), *"postposition interjection onomatopoeia".split(),
 )
-POS = ("verb", "noun", "adj", "num", "conj", "postp", "ünlem", "yansıma")
+POS = tuple("verb noun adj num conj postp ünlem yansıma".split())
 _LETTERS = "aeıioöuüâîû"
 FINITE = g.PERSONAL
 CHAINS = tuple(base + ("caus",) * n + last for base in ((), ("refl",), ("recip",)) for n in range(4) for last in ((), ("pass",)))
@@ -106,7 +106,7 @@ def _quiet(f, *args, **kw):
         return None
 
 
-# ---- confirming --------------------------------------------------------------------------
+# Confirming.
 
 
 def _conjugations(surface: str, lemma: str, question: bool) -> Iterator[dict]:
@@ -152,7 +152,7 @@ def _copulas(surface: str, lemma: str, question: bool) -> Iterator[dict]:
                     yield {k: v for k, v in axes.items() if v and not (aux == "ken" and k == "person")}
 
 
-# ---- parts -------------------------------------------------------------------------------
+# Parts.
 
 
 def _cut(surface: str, steps: list[tuple[int, str]], start: int, root: str = "KÖK") -> list[tuple[str, str]]:
@@ -245,7 +245,7 @@ def _ki_parts(surface: str, lemma: str, axes: dict) -> list[tuple[str, str]]:
     return [*_noun_parts(base, lemma, axes), (surface[len(base) :], "ki")] if surface.startswith(base) else [(surface, "KÖK")]
 
 
-# ---- one token ---------------------------------------------------------------------------
+# One token.
 
 
 def _verb_readings(surface: str, lemma: str, hyp: bool) -> Iterator[Reading]:
@@ -257,7 +257,7 @@ def _verb_readings(surface: str, lemma: str, hyp: bool) -> Iterator[Reading]:
     for kind in g.CONVERBS:
         if _quiet(g.converb, lemma, kind) == surface:
             yield Reading(lemma, "verb", "converb", {"kind": kind}, _cut(surface, [(len(surface), kind)], _root_end(lemma)), hyp)
-    for name, make, bases, ending in (("converb_casina", g.converb_casina, ("aorist", "evid"), "cAsInA"), ("converb_ken", g.converb_ken, ("aorist", "pres", "evid", "fut"), "ken")):
+    for name, make, bases, ending in (("converb_casina", g.converb_casina, ("aorist", "evid"), "cAsInA"), ("converb_ken", g.converb_ken, "aorist pres evid fut".split(), "ken")):
         if surface.endswith("ken") if ending == "ken" else re.search("[cç][ae]s[ıi]n[ae]$", surface):
             for base, negative in product(bases, (False, True)):
                 if _quiet(make, lemma, base=base, negative=negative) == surface:
@@ -405,7 +405,7 @@ def _phrase(tokens: list[str], roots: Collection[str] | None) -> list[Reading]:
     return sorted(_distinct(out), key=lambda r: r.order)
 
 
-# ---- layers upon layers ------------------------------------------------------------------
+# Layers upon layers.
 
 _VOICED = re.compile("[ıiuü][lnrşt]$")
 

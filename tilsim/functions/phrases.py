@@ -16,6 +16,8 @@ from tilsim.functions import grammar as g
 CONJUNCTIONS = frozenset("ama ancak fakat ki ve veya".split())
 DEGREES = frozenset("az biraz çok daha en epey fazla oldukça pek".split())
 _LEAF = {"adj": "ADJ", "conj": "CCONJ", "noun": "NOUN", "num": "NUM", "postp": "ADP", "verb": "VERB"}
+_IN_VP = frozenset("AdjP AdvP CoordP NOUN NP PP".split())
+_JOINED = frozenset("ADJ AdjP AdvP CoordP NP".split())
 _NAME_CASES = {"gen": "n?[ıiuü]n", "abl": "[dt][ae]n", "loc": "[dt][ae]", "ins": "y?l[ae]", "dat": "y?[ae]", "acc": "y?[ıiuü]"}
 
 
@@ -200,7 +202,7 @@ def _clause(nodes: list[Node]) -> list[Node]:
     if at is None or not nodes[at].leaf:
         return nodes
     first = at
-    while first and nodes[first - 1].tag in ("NP", "PP", "AdjP", "CoordP", "NOUN", "AdvP") and not (nodes[first - 1].tag in ("NP", "NOUN") and _nominative(nodes[first - 1])):
+    while first and nodes[first - 1].tag in _IN_VP and not (nodes[first - 1].tag in ("NP", "NOUN") and _nominative(nodes[first - 1])):
         first -= 1
     inside = [_over("NP", n) if n.leaf and n.tag == "NOUN" else n for n in nodes[first:at]]
     return [_over("S", *nodes[:first], _over("VP", *inside, nodes[at]))]
@@ -239,7 +241,7 @@ def flat(tree: Node) -> list[dict]:
     return out
 
 
-# ---- dependencies ------------------------------------------------------------------------
+# Dependencies.
 
 
 def _head(n: Node) -> Node:
@@ -283,7 +285,7 @@ def _relation(parent: str, n: Node) -> str:
     elif parent == "AdjP" and n.tag == "ADJ":
         return "advmod"
     elif parent == "CoordP":
-        return "cc" if n.tag == "CCONJ" else "conj" if n.tag in ("NP", "CoordP", "AdjP", "AdvP", "ADJ") else "dep"
+        return "cc" if n.tag == "CCONJ" else "conj" if n.tag in _JOINED else "dep"
     elif parent in ("VP", "S"):
         if n.tag in ("AdjP", "AdvP") or members and members[0].tag in ("AdjP", "AdvP"):
             return "advmod"

@@ -32,9 +32,11 @@ _REPORTING = _set("demek düşünmek sanmak sormak söylemek ummak zannetmek")
 _DEGREES = _set("az biraz böyle çok daha en epey fazla gayet oldukça öyle pek şöyle")
 _NOUNS_ALL_THE_SAME = _set("çocuk memur")
 _NARRATIVE = _set("aorist evid fut past pres")
-_MOOD = {"imp": "emir", "opt": "istek", "cond": "şart", "necess": "gereklilik"}
+_MOOD = dict(p.split("-") for p in "cond-şart imp-emir necess-gereklilik opt-istek".split())
 _NOT_PREDICATE = ("SORU", "NEG", "ADP", "CONJ", "UNLEM")
 _VERBAL = ("FIIL", "ULAC", "ORTAC")
+_PLACED = ("abl", "dat", "loc")
+_OUTSIDE = "cümle dışı unsur"
 _GOVERNED = ("dolaylı tümleç", "zarf tümleci", "özne", "belirtili nesne", "belirtisiz nesne")
 
 
@@ -110,7 +112,7 @@ def classify(idx: int, surface: str, reading: dict | None, lexicon_pos: str | No
 def _nominal_label(case: str | None) -> tuple[str, tuple[str, ...]]:
     if case == "acc":
         return "belirtili nesne", ()
-    return ("dolaylı tümleç", ("yer tamlayıcısı",)) if case in ("dat", "loc", "abl") else ("özne", ())
+    return ("dolaylı tümleç", ("yer tamlayıcısı",)) if case in _PLACED else ("özne", ())
 
 
 def label_body(body: list[Tok]) -> tuple[list[Element], bool]:
@@ -122,7 +124,7 @@ def label_body(body: list[Tok]) -> tuple[list[Element], bool]:
         t, before = body[i], body[i - 1] if i else None
         if t.role in ("ULAC", "ORTAC"):
             dependent, words = True, (t.surface,)
-            if out and before and before.role == "AD" and before.case in ("dat", "loc", "abl", "acc") and out[-1].head_id == before.idx:
+            if out and before and before.role == "AD" and before.case in (*_PLACED, "acc") and out[-1].head_id == before.idx:
                 out.pop()
                 words = (before.surface, t.surface)
             out.append(Element("zarf tümleci", words, t.idx))
@@ -140,7 +142,7 @@ def label_body(body: list[Tok]) -> tuple[list[Element], bool]:
             if i < len(body) and body[i].role == "ADP":
                 out.append(Element("edat tümleci", (*words, body[i].surface), body[i].idx))
                 i += 1
-            elif head.role == "MOD" and group[0].low in _DEGREES or head.case in ("dat", "loc", "abl") and head.reading and head.reading["lemma"] in _TIMES:
+            elif head.role == "MOD" and group[0].low in _DEGREES or head.case in _PLACED and head.reading and head.reading["lemma"] in _TIMES:
                 out.append(Element("zarf tümleci", words, head.idx))
             else:
                 label, aliases = _nominal_label(head.case)
@@ -152,13 +154,13 @@ def label_body(body: list[Tok]) -> tuple[list[Element], bool]:
             else:
                 out.append(Element("edat tümleci", (t.surface,), t.idx))
         else:
-            out.append(Element("cümle dışı unsur", (t.surface,), t.idx))
+            out.append(Element(_OUTSIDE, (t.surface,), t.idx))
         i += 1
     return out, dependent
 
 
 def _addressed(elements: list[Element]) -> list[Element]:
-    return [Element("cümle dışı unsur", e.tokens, e.head_id) if e.label == "özne" else e for e in elements]
+    return [Element(_OUTSIDE, e.tokens, e.head_id) if e.label == "özne" else e for e in elements]
 
 
 def _bare_object(elements: list[Element]) -> list[Element]:

@@ -14,13 +14,13 @@ from tilsim.functions import grammar as _g
 _NAMES = {
     "kip": dict(zip("şimdiki geçmiş gelecek geniş duyulan dilek gereklilik istek emir ulaç ortaç".split(), "pres past fut aorist evid cond necess opt imp conv_arak part_dik".split(), strict=True)),
     "kişi": {f"{n}{t}": f"{n}{k}" for n in "123" for t, k in (("tekil", "sg"), ("çoğul", "pl"))},
-    "birleşik": {"hikâye": "hikaye", "hikaye": "hikaye", "rivayet": "rivayet", "şart": "sart", "iken": "ken"},
+    "birleşik": dict(p.split("-") for p in "hikâye-hikaye hikaye-hikaye rivayet-rivayet şart-sart iken-ken".split()),
     "tasvir": dict(zip("tezlik sürerlik gelerlik kalma yaklaşma".split(), "iver adur agel akal ayaz".split(), strict=True)),
     "çatı": {"ettirgen": "caus", "edilgen": "pass", "dönüşlü": "refl", "işteş": "recip"},
     "sayı": {"tekil": "sg", "çoğul": "pl"},
     "durum": dict(zip("yalın belirtme yönelme bulunma ayrılma tamlayan vasıta".split(), "nom acc dat loc abl gen ins".split(), strict=True)),
-    "ulaç": {"arak": "arak", "ip": "ip", "ınca": "inca", "inca": "inca", "madan": "madan", "dıkça": "dikce", "dikçe": "dikce", "maksızın": "meksizin", "meksizin": "meksizin", "eli": "eli", "esiye": "esiye"},
-    "fiilimsi": {"dik": "dik", "acak": "acak", "ma": "ma", "mak": "mak", "ış": "is", "iş": "is"},
+    "ulaç": {**{k: k for k in _g.CONVERBS}, "dıkça": "dikce", "dikçe": "dikce", "ınca": "inca", "maksızın": "meksizin"},
+    "fiilimsi": {**{k: k for k in _g.PARTICIPLES}, "ış": "is", "iş": "is"},
 }
 
 

@@ -16,8 +16,8 @@ _TAGS = {
     "possessive": {f"P{n}{k}": f"{n}{k}" for n in "123" for k in ("sg", "pl")},
     "case": {c.capitalize(): c for c in "abl acc dat gen ins loc nom".split()},
     "tense": {"Aor": "aorist", "Cond": "cond", "Fut": "fut", "Imp": "imp", "Narr": "evid", "Neces": "neces", "Opt": "opt", "Past": "past", "Pres": "pres", "Prog1": "pres", "Prog2": "pres"},
-    "voice": {"Caus": "caus", "Pass": "pass", "Recip": "recip", "Reflex": "refl"},
-    "ptype": {"AorPart": "aorist", "AsLongAs": "aslong", "ByDoingSo": "by", "FutPart": "fut", "Inf1": "inf1", "Inf2": "inf2", "Inf3": "inf3", "Ness": "ness", "PastPart": "past", "PresPart": "pres", "Since": "since", "While": "while", "Without": "without"},
+    "voice": dict(zip("Caus Pass Recip Reflex".split(), "caus pass recip refl".split(), strict=True)),
+    "ptype": dict(p.split(":") for p in "AorPart:aorist AsLongAs:aslong ByDoingSo:by FutPart:fut Inf1:inf1 Inf2:inf2 Inf3:inf3 Ness:ness PastPart:past PresPart:pres Since:since While:while Without:without".split()),
 }
 
 
@@ -59,11 +59,11 @@ def reading_state(kind: Column, axes: Column, pos: Column) -> Column:
     """The fine state of a reading."""
     name = lambda base, axis: F.when(axis.isNotNull(), F.concat(F.lit(base + ":"), axis)).otherwise(base)
     return (
-        F.when(kind.isin("conjugate", "converb", "converb_casina", "converb_ken"), name("Verb", F.coalesce(axes["tense"], axes["base"])))
-        .when(kind == "participle", F.when(axes["ptype"].isin("inf1", "inf2", "inf3", "ness"), name("Noun", axes["case"])).otherwise("Adj"))
+        F.when((kind.startswith("conv") | (kind == "conjugate")), name("Verb", F.coalesce(axes["tense"], axes["base"])))
+        .when(kind == "participle", F.when(axes["ptype"].isin("ness", *(f"inf{i}" for i in (1, 2, 3))), name("Noun", axes["case"])).otherwise("Adj"))
         .when(kind == "decline", name("Noun", axes["case"]))
         .when(kind == "copula", "Noun")
-        .otherwise(F.coalesce(_table({"adj": "Adj", "conj": "Conj", "num": "Num", "postp": "Postp"})[pos], F.lit("Noun")))
+        .otherwise(F.coalesce(_table({p: p.capitalize() for p in "adj conj num postp".split()})[pos], F.lit("Noun")))
     )
 
 

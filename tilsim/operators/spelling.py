@@ -21,7 +21,7 @@ from tilsim.plans.staging import staged
 LONGEST = 200
 _FOLD, _PLAIN = "ıöüşçğ", "iouscg"
 _HALF = frozenset(frozenset(p) for p in zip(_FOLD, _PLAIN, strict=True))
-_REMADE = ("conjugate", "decline", "copula", "converb", "converb_casina", "converb_ken", "participle", "with_ki")
+_REMADE = tuple("conjugate decline copula converb converb_casina converb_ken participle with_ki".split())
 
 
 def weighted_distance(a: str, b: str) -> float:

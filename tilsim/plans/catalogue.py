@@ -42,7 +42,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- SQL of closed sets ------------------------------------------------------------------
+# SQL of closed sets.
 
 
 def _list(values) -> str:
@@ -76,7 +76,7 @@ def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("pos", "token"))
 
 
-# ---- tokens and numbers ------------------------------------------------------------------
+# Tokens and numbers.
 
 
 @_query(f"SELECT token, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY token ORDER BY n DESC, token LIMIT 20")
@@ -137,7 +137,7 @@ def abbreviation_expand(spark, sf_dir):
     return p.select("p_partkey", "token", words.expand_abbreviation(F.col("token")).alias("expanded"))
 
 
-# ---- sounds ------------------------------------------------------------------------------
+# Sounds.
 
 
 @_query(f"SELECT token, last, length(regexp_replace(token, '[^{sounds.VOWELS}]', '', 'g')) AS n_vowels, count(*) AS n FROM (SELECT token, nullif({_LAST_SQL.format(w='token')}, '') AS last FROM ({_WORDS_SQL})) GROUP BY ALL")
@@ -168,7 +168,7 @@ def ipa_tokens(spark, sf_dir):
     return _token_rows(spark, sf_dir).select("token").distinct().select("token", sounds.ipa(F.col("token")).alias("ipa"))
 
 
-# ---- particles and reduplication ---------------------------------------------------------
+# Particles and reduplication.
 
 
 @_query("SELECT n_nationkey, lower(n_name) || ' ' || lower(n_name) AS doubled FROM nation")
@@ -214,7 +214,7 @@ def distributive_dayofmonth(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", forms.form("distributive", words.number_words(F.dayofmonth("o_orderdate"))).alias("each_of"))
 
 
-# ---- morphology over a seed --------------------------------------------------------------
+# Morphology over a seed.
 
 #: Nouns without alternations, whose suffixes SQL can spell out.
 _NOUNS = "araba ay bina cadde defter deniz dünya el ev gece göl göz hafta kalem kapı kız köy kuş masa okul orman para pencere ses sıra şoför top tuz ütü yol".split()
@@ -369,7 +369,7 @@ def similar_names(spark, sf_dir):
     return pairs.filter("left_key < right_key").select("left_key", "right_key")
 
 
-# ---- counting, windows and decoding over whole tables ------------------------------------
+# Counting, windows and decoding over whole tables.
 
 
 
