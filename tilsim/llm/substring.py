@@ -16,10 +16,9 @@ WINDOW neighbours, so equal substrings of 2 x WINDOW - 1 bytes have an anchor in
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +28,9 @@ from tilsim.llm.common import materialize, pieces, text_bytes
 LEAST = 200
 #: Bytes of an anchor's window, and neighbours among which its hash is the least.
 WINDOW = 100
-_BUCKET = 16 << 20
+#: Bytes of anchors, and of text, that one task holds at once.
+_BUCKET = 12 << 20
+_BLOCK = 4 << 20
 _CHUNK = 1 << 21
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -71,10 +72,6 @@ def anchors(data: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return at, h[at]
 
 
-def _tid(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
 def _by_bucket(to: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, pa.Array]:
     by = np.argsort(to, kind="stable")
     to = to[by]
@@ -105,9 +102,10 @@ def _common_prefix(a: bytes, b: bytes) -> int:
     return low if a[low : low + 1] != b[low : low + 1] else low + 1
 
 
-def tree(right: list[bytes], left: list[bytes], least: int) -> list[tuple[int, int, int, int, int, int]]:
-    """The repeats of one group of suffixes: for each leaf at most two of (leaf, bytes to
-    the left, bytes to the right, leaves that share it, the leaf's interval in the order).
+def tree(right: list[bytes], left: list[bytes], least: int) -> tuple[list[tuple[int, int, int, int, int, int]], list[int]]:
+    """The repeats of one group of suffixes: for each leaf a few of (leaf, bytes to
+    the left, bytes to the right, leaves that share it, their interval in the order), and
+    the order.
 
     ``left`` is what stands before each suffix, back to front. The order is that of the
     suffixes, then of what stands before them; the intervals of equal common prefixes are
@@ -152,7 +150,7 @@ def tree(right: list[bytes], left: list[bytes], least: int) -> list[tuple[int, i
         if depth and depth + shared >= least:
             x, y = sorted((place[a], place[b]))
             out += [(a, shared, depth, 2, x, y + 1), (b, shared, depth, 2, x, y + 1)]
-    return out
+    return out, order
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, window: int = WINDOW) -> DataFrame:
@@ -171,13 +169,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         raise ValueError("the windows are too long for this length")
     total = text_bytes(docs, text_col)
     buckets = pieces(total // 2, _BUCKET)
-    blocks = pieces(total, _BUCKET)
+    blocks = pieces(total, _BLOCK)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") >= least)
+    given = given.withColumn("tid", F.xxhash64("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def find(batches):
         for b in batches:
-            raw = [t.encode("utf-8", "replace") for t in b["text"].to_pylist()]
+            raw, tids = b["text"].cast(pa.binary()).to_pylist(), b["tid"].to_pylist()
             at = 0
             while at < len(raw):
                 to, size = at, 0
@@ -185,9 +184,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                     size += len(raw[to])
                     to += 1
                 hs, ts, ps, bs = [], [], [], []
-                for text in raw[at:to]:
+                for text, tid in zip(raw[at:to], tids[at:to], strict=True):
                     p, h = anchors(np.frombuffer(text, np.uint8), window)
-                    tid = _tid(text)
                     with np.errstate(over="ignore"):  # what stands before: the anchor before and its distance, or this text's beginning
                         first = _mix(np.array([tid], np.int64).view(np.uint64))
                         prev = _mix(np.concatenate([first, h[:-1]]) + np.diff(p, prepend=0).astype(np.uint64))
@@ -217,17 +215,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         keep = np.repeat(size > 1, size)
         diverse = np.repeat(differ, size)[keep]
         h, tid, pos = h[keep], tid[keep], pos[keep]
-        return pa.table(_by_bucket((tid.view(np.uint64) % np.uint64(blocks)).astype(np.int64), {"h": h, "tid": tid, "pos": pos, "begins": diverse}))
+        return pa.table(_by_bucket(np.mod(tid, blocks), {"h": h, "tid": tid, "pos": pos, "begins": diverse}))
 
-    found = given.select("text").mapInArrow(find, "bucket bigint, h binary, tid binary, pos binary, prev binary")
+    found = given.select("tid", "text").mapInArrow(find, "bucket bigint, h binary, tid binary, pos binary, prev binary")
     marked = materialize(found.groupBy("bucket").applyInArrow(shared, "bucket bigint, h binary, tid binary, pos binary, begins binary"), "substring-anchors")
 
-    def block_of(texts: pa.Array) -> pa.Array:
-        return pa.array([int(np.uint64(_tid(t.encode("utf-8", "replace")) & ((1 << 64) - 1)) % np.uint64(blocks)) for t in texts.to_pylist()], pa.int64())
-
-    block_of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    by_block = given.withColumn("bucket", F.arrow_udf(block_of, "bigint")("text"))
-    groups = pieces(total, _BUCKET)
+    by_block = given.withColumn("bucket", F.pmod("tid", F.lit(blocks)))
+    groups = pieces(total, _BLOCK)
     suffix = f"bucket bigint, h bigint, doc_id {kind}, start int, rights binary, lefts binary, length int, digest bigint"
 
     def cut(t: pa.Table, marks: pa.Table) -> pa.Table:
@@ -238,9 +232,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 c.append(v)
 
         texts: dict[int, tuple[bytes, list]] = {}
-        for doc, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True):
-            raw = text.encode("utf-8", "replace")
-            texts.setdefault(_tid(raw), (raw, []))[1].append(doc)
+        for doc, tid, raw in zip(t["doc_id"].to_pylist(), t["tid"].to_pylist(), t["text"].cast(pa.binary()), strict=True):
+            if tid in texts:
+                texts[tid][1].append(doc)
+            else:
+                texts[tid] = (raw.as_py(), [doc])
         tids, pos, h, begins = _joined(marks, "tid", np.int64), _joined(marks, "pos", np.int32), _joined(marks, "h", np.uint64), _joined(marks, "begins", np.bool_)
         by = np.lexsort((pos, tids))
         tids, pos, h, begins = tids[by], pos[by], h[by], begins[by]
@@ -283,24 +279,29 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 continue
             own = by[a:b].tolist()
             right, left = [rights[i] for i in own], [lefts[i] for i in own]
-            spans = tree(right, left, least)
+            spans, order = tree(right, left, least)
             if not spans:
                 continue
-            order = sorted(range(len(own)), key=lambda i: (right[i], left[i]))
             in_order = [docs_[own[i]] for i in order]
             lows: dict[tuple[int, int], object] = {}
-            for leaf, back, depth, n, x, y in spans:
+            widest: dict[int, list[tuple[int, int]]] = {}
+            for leaf, back, depth, n, x, y in sorted(spans, key=lambda r: (r[0], -r[1] - r[2], -r[3])):
+                taken = widest.setdefault(leaf, [])
+                if any(back <= p and depth <= q for p, q in taken):
+                    continue  # lies within another span of this leaf
+                taken.append((back, depth))
                 if (x, y) not in lows:
                     lows[x, y] = min((d for d in in_order[x:y] if d is not None), default=None)
-                whole = left[leaf][:back][::-1] + right[leaf][:depth]
-                s, e = 0, len(whole)
-                while s < e and whole[s] & 0xC0 == 0x80:
+                before, after = left[leaf][:back][::-1], right[leaf][:depth]
+                s = 0
+                while s < len(before) and before[s] & 0xC0 == 0x80:
                     s += 1
-                text = whole[s:e].decode("utf-8", "ignore")  # a character cut at the end goes
-                if len(text.encode()) < least - 6:
-                    continue
-                ahead = sum(c & 0xC0 != 0x80 for c in whole[s : max(s, back)])
-                rows.append((docs_[own[leaf]], starts[own[leaf]] - ahead, len(text), n, lows[x, y], _tid(text.encode())))
+                e = len(after)
+                while e and right[leaf][e : e + 1] and right[leaf][e] & 0xC0 == 0x80:
+                    e -= 1  # a character cut at the end goes
+                span = before[s:] + after[:e]
+                ahead = len(before[s:].decode("utf-8", "ignore"))
+                rows.append((docs_[own[leaf]], starts[own[leaf]] - ahead, ahead + len(after[:e].decode("utf-8", "ignore")), n, lows[x, y], xxhash.xxh64_intdigest(span) - (1 << 63)))
         names = [c.split()[0] for c in result.split(", ")]
         kinds = [t["doc_id"].type, pa.int32(), pa.int32(), pa.int64(), t["doc_id"].type, pa.int64()]
         return pa.table({c: pa.array([r[k] for r in rows], x) for k, (c, x) in enumerate(zip(names, kinds, strict=True))})
