@@ -50,7 +50,7 @@ def test_simhash_recall(spark, docs_of, corpus):
     for a, b in near:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     together = sum(out[a]["group_id"] == out[b]["group_id"] for a, b in near)
-    assert together >= 0.97 * len(near) > 100
+    assert together >= 0.95 * len(near) > 100
     assert all(root(i) == root(out[i]["group_id"]) for i in out)  # none that brute force parts
     exact = [(a, b) for a, b in near if d[a, b] <= simhash.EXACT]
     assert all(out[a]["group_id"] == out[b]["group_id"] for a, b in exact)
@@ -252,5 +252,8 @@ def test_media_round_trip(spark, tmp_path):
     assert {r["k"]: r["payload"] for r in back if r["k"]} == {k: p for k, p in rows if k}
     import tarfile
 
+    again = media.store(df.repartition(3), "k", "p", f"file://{tmp_path}/other")
+    assert {(r["k"], r["digest"]) for r in again.collect()} == {(r["k"], r["digest"]) for r in got}
+    assert len({(r["shard"], r["offset"]) for r in again.collect() if r["k"] in (1, 7)}) == 1
     names = [m for s in {r["shard"] for r in got if r["shard"]} for m in tarfile.open(s.removeprefix("file://")).getnames()]
     assert sorted(names) == sorted({r["digest"] for r in got if r["digest"]})

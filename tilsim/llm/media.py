@@ -10,6 +10,7 @@ import hashlib
 import re
 import struct
 import tarfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilsim.llm.common import fresh_path, materialize, pieces
+from tilsim.llm.common import fresh_path, materialize
 
 #: Bytes of payload that a shard is planned for.
 SHARD_BYTES = 64 << 20
@@ -93,71 +94,124 @@ def sniff(head: bytes) -> dict[str, object]:
     return out
 
 
-def _write_shard(uri: str, members: list[tuple[str, bytes]]) -> dict[str, tuple[int, int]]:
-    """Writes a tar file and renames it into place, so that a retry or a copy of the task
-    leaves one whole shard. Returns offset and length of each member's bytes."""
-    import uuid
-
-    system, path = _filesystem(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    half, at, where = f"{path}.{uuid.uuid4().hex}", 0, {}
-    with system.open_output_stream(half) as out:
-        for name, body in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(body)
-            head = info.tobuf(tarfile.PAX_FORMAT)
-            out.write(head)
-            out.write(body)
-            out.write(b"\0" * (-len(body) % 512))
-            where[name] = (at + len(head), len(body))
-            at += len(head) + len(body) + -len(body) % 512
-        out.write(b"\0" * 1024)
-    system.move(half, path)
-    return where
+class _Shards:
+    """Tar shards of one task attempt. A shard appears under its name once it is whole;
+    names hold a part of their own for each attempt, so a lost or repeated attempt leaves
+    files that no row speaks of, and rows always speak of whole ones."""
+
+    def __init__(self, root: str, task: int, most: int):
+        self.stem, self.most, self.k = f"{root}/shard-{task:06d}-{uuid.uuid4().hex[:12]}", most, 0
+        self.out = None
+
+    def add(self, name: str, body: bytes) -> tuple[str, int, int]:
+        """Where the member's bytes will stand: shard, offset, length."""
+        if self.out is None:
+            self.uri = f"{self.stem}-{self.k:04d}.tar"
+            self.system, self.path = _filesystem(self.uri)
+            self.system.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+            self.out, self.at = self.system.open_output_stream(self.path + ".part"), 0
+        info = tarfile.TarInfo(name)
+        info.size = len(body)
+        head = info.tobuf(tarfile.PAX_FORMAT)
+        self.out.write(head + body + b"\0" * (-len(body) % 512))
+        where = (self.uri, self.at + len(head), len(body))
+        self.at += len(head) + len(body) + -len(body) % 512
+        return where
+
+    @property
+    def full(self) -> bool:
+        return self.out is not None and self.at >= self.most
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(b"\0" * 1024)
+            self.out.close()
+            self.system.move(self.path + ".part", self.path)
+            self.out, self.k = None, self.k + 1
+
+
+def _left_to_others(path: str, task: int) -> frozenset[str]:
+    """The digests that a task has but another one writes."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, base = _filesystem(f"{path}/p={task}")
+    if system.get_file_info(base).type == fs.FileType.NotFound:
+        return frozenset()
+    files = [f.path for f in system.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
+    return frozenset(d for f in files for d in pq.ParquetFile(system.open_input_file(f)).read(["digest"])["digest"].to_pylist())
+
+
+def _stored(given: DataFrame, root: str, skip: str, shard_bytes: int) -> DataFrame:
+    kind = given.schema["__id"].dataType.simpleString()
+    names = ["__id", "digest", "shard", "offset", "length", "codec", "raw_length"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        others, shards, seen, waiting = _left_to_others(skip, task), _Shards(root, task, shard_bytes), set(), []
+        kinds = None
+
+        def flush() -> pa.RecordBatch:
+            shards.close()
+            columns = list(zip(*waiting, strict=True)) if waiting else [[]] * len(names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            waiting.clear()
+            return out
+
+        for b in batches:
+            kinds = [b.schema.field("__id").type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            for key, payload in zip(b["__id"].to_pylist(), b["__payload"], strict=True):
+                p = payload.as_py()
+                if p is None:
+                    waiting.append((key, *[None] * 6))
+                    continue
+                digest = hashlib.sha256(p).hexdigest()
+                if digest in seen or digest in others:
+                    waiting.append((key, digest, None, None, None, None, len(p)))
+                    continue
+                seen.add(digest)
+                codec, body = _packed(p)
+                waiting.append((key, digest, *shards.add(digest, body), codec, len(p)))
+                if shards.full:
+                    yield flush()
+        if kinds is not None:
+            yield flush()
+
+    return given.mapInArrow(write, f"__id {kind}, digest string, shard string, offset bigint, length bigint, codec string, raw_length bigint")
 
 
 def store(payloads: DataFrame, id_col: str, payload_col: str, root: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``<id_col>, digest, shard, offset, length, codec, raw_length`` for each input row.
 
     Equal payloads share one entry. A null payload has nulls; an empty one is an entry of
-    length 0. Repeated rows and null ids stay; further columns are left out. Payloads are
-    compressed before they are shuffled, once, to the shard that their digest names.
-    ``root`` is a folder that all executors share, by default in the session's shared one.
+    length 0. Repeated rows and null ids stay; further columns are left out. ``root`` is a
+    folder that all executors share, by default in the session's shared one.
+
+    Payloads aren't shuffled. A first pass finds digests that several tasks have and leaves
+    each to the first of them; every task reads its own list of those left to others from
+    the shared folder and writes the rest. Only digests and places are joined afterwards.
+    Should the second pass see other partitions than the first, a payload that no task
+    wrote is written then, from a join on its digest.
     """
     spark = payloads.sparkSession
     root = root or fresh_path(spark, "media")
     given = payloads.select(F.col(id_col).alias("__id"), F.col(payload_col).cast("binary").alias("__payload"))
-    total = given.agg(F.sum(F.octet_length("__payload"))).first()[0] or 0
-    shards = pieces(total, shard_bytes)
-    kind = given.schema["__id"].dataType.simpleString()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
-                rows = part["__payload"].to_pylist()
-                packed = [(None, None) if p is None else _packed(p) for p in rows]
-                digests = [None if p is None else hashlib.sha256(p).hexdigest() for p in rows]
-                yield pa.RecordBatch.from_arrays([
-                    part["__id"], pa.array(digests, pa.string()), pa.array([0 if d is None else int(d[:15], 16) % shards for d in digests], pa.int32()),
-                    pa.array([c for c, _ in packed], pa.string()), pa.array([None if p is None else len(p) for p in rows], pa.int64()), pa.array([x for _, x in packed], pa.binary()),
-                ], ["__id", "digest", "n", "codec", "raw_length", "body"])
-
-    def write(t: pa.Table) -> pa.Table:
-        n = t["n"][0].as_py()
-        uri = f"{root}/shard-{n:06d}.tar"
-        digests, codecs = t["digest"].to_pylist(), t["codec"].to_pylist()
-        first = {d: i for i, d in reversed(list(enumerate(digests))) if d is not None}
-        bodies = t["body"].combine_chunks()
-        where = _write_shard(uri, ((d, bodies[first[d]].as_py()) for d in sorted(first))) if first else {}
-        return pa.table({
-            "__id": t["__id"], "digest": t["digest"], "shard": pa.array([None if d is None else uri for d in digests], pa.string()),
-            "offset": pa.array([None if d is None else where[d][0] for d in digests], pa.int64()), "length": pa.array([None if d is None else where[d][1] for d in digests], pa.int64()),
-            "codec": pa.array(codecs, pa.string()), "raw_length": t["raw_length"],
-        })
-
-    rows = given.mapInArrow(pack, f"__id {kind}, digest string, n int, codec string, raw_length bigint, body binary").groupBy("n").applyInArrow(write, f"__id {kind}, digest string, shard string, offset bigint, length bigint, codec string, raw_length bigint")
-    return materialize(rows, "media-rows").withColumnRenamed("__id", id_col)
+    have = given.filter("__payload IS NOT NULL").select(F.spark_partition_id().alias("p"), F.sha2("__payload", 256).alias("digest")).distinct()
+    many = have.groupBy("digest").agg(F.min("p").alias("owner"), F.collect_set("p").alias("all")).filter(F.size("all") > 1)
+    skip = fresh_path(spark, "media-skip")
+    many.select("digest", F.explode(F.array_remove("all", F.col("owner"))).alias("p")).write.partitionBy("p").parquet(skip)
+    rows = materialize(_stored(given, root, skip, shard_bytes), "media-rows")
+    placed = rows.filter("shard IS NOT NULL").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "codec")).alias("at"))
+    lost = rows.filter("digest IS NOT NULL").select("digest").distinct().join(placed, "digest", "left_anti")
+    if not lost.isEmpty():
+        lost = materialize(lost, "media-lost")
+        again = given.withColumn("digest", F.sha2("__payload", 256)).join(lost, "digest", "left_semi").drop("digest")
+        more = materialize(_stored(again, root, f"{skip}-none", shard_bytes), "media-rows")
+        placed = placed.unionByName(more.filter("shard IS NOT NULL").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "codec")).alias("at")))
+    out = rows.select("__id", "digest", "raw_length").join(placed, "digest", "left")
+    return out.select(F.col("__id").alias(id_col), "digest", "at.shard", "at.offset", "at.length", "at.codec", "raw_length")
 
 
 def _ranges(b: pa.RecordBatch, most: int) -> Iterator[bytes | None]:
