@@ -78,6 +78,12 @@ def test_mixing_meets_its_weights(spark):
         assert abs(r[1] / total - weights[r[0]]) < 0.05
 
 
+def test_mixing_by_either_join(spark):
+    docs = table(spark, SF, "documents")
+    rows = lambda most: sorted((r["doc_id"], r["copy_no"]) for r in mixing.mix(docs, details=True, most_sent=most).collect())
+    assert rows(0) == rows(100)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     train, held = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")

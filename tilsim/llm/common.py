@@ -38,6 +38,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of text over all rows, in one aggregation."""
     got = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()

@@ -12,9 +12,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilsim.llm.common import free_names, materialize
+
 SEED = "mix-1"
 #: Without explicit weights the target weight of a source is its tokens to this power.
 TEMPER = 0.7
+#: Rates of at most so many sources are broadcast: about 20 MB.
+MOST_SENT = 200_000
+SALTS = 32
 
 
 def n_tokens(text: Column) -> Column:
@@ -49,22 +54,30 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bu
     return per.crossJoin(total).select("source", "source_tokens", F.round(rate, 6).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budget: float = 1.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", temper: float = TEMPER, details: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budget: float = 1.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", temper: float = TEMPER, details: bool = False, most_sent: int = MOST_SENT) -> DataFrame:
     """The columns of ``docs``, each row as often as its source's rate says.
 
     With ``details``: also ``copy_no`` from 1, ``rate`` and ``n_tokens``; a column of
     ``docs`` with such a name gives way. A row with a null id draws as the empty id does;
-    repeated rows draw alike; an empty table gives an empty one. The shuffle carries one
-    partial sum per source and task. The table of rates has a row per source; Spark
-    broadcasts it if its size allows and joins by sort otherwise.
+    repeated rows draw alike; an empty table gives an empty one. The only shuffle carries
+    one partial sum per source and task. Up to MOST_SENT sources their rates are broadcast,
+    so that no text moves; beyond it each rate stands in SALTS copies, over which the
+    documents of a large source spread.
     """
-    per = rates(docs, weights, budget, source_col, text_col, temper).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    fraction = F.col("__rate") - F.floor("__rate")
-    copies = (F.floor("__rate") + (draw(F.col(id_col), seed) < fraction).cast("int")).cast("int")
-    joined = docs.join(per, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "inner").withColumn("__copies", copies).filter("__copies > 0")
-    out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    src, rate, own, salt, n, copy = free_names(docs.columns, "__source", "__rate", "__own", "__salt", "__copies", "__copy")
+    per = materialize(rates(docs, weights, budget, source_col, text_col, temper), "mix-rates").select(F.col("source").alias(src), F.col("rate").alias(rate))
+    fraction = F.col(rate) - F.floor(rate)
+    copies = (F.floor(rate) + (draw(F.col(id_col), seed) < fraction).cast("int")).cast("int")
+    same = F.col(source_col).cast("string").eqNullSafe(F.col(src))
+    if per.count() <= most_sent:
+        joined = docs.join(F.broadcast(per), same)
+    else:
+        per = per.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn(own, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")).join(per, same & (F.col(own) == F.col(salt)))
+    joined = joined.withColumn(n, copies).filter(F.col(n) > 0)
+    out = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
     keep = [F.col(f"`{c}`") for c in docs.columns if not (details and c in ("copy_no", "rate", "n_tokens"))]
-    more = [F.col("__copy").alias("copy_no"), F.col("__rate").alias("rate"), n_tokens(F.col(text_col).cast("string")).alias("n_tokens")] if details else []
+    more = [F.col(copy).alias("copy_no"), F.col(rate).alias("rate"), n_tokens(F.col(text_col).cast("string")).alias("n_tokens")] if details else []
     return out.select(*keep, *more)
 
 

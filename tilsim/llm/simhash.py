@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilsim.llm.common import fresh_path, materialize, pieces
+from tilsim.llm.common import free_names, materialize, pieces
 
 BITS = 256
 PARTITIONS = 8
 #: Sketches that differ in at most so many bits are near-duplicates.
-DISTANCE = 30
+DISTANCE = 34
 #: Up to this distance the search is exact; between it and DISTANCE a pair is missed only
 #: if every partition exceeds its own threshold (recall: see the README).
 EXACT = 21
+#: Numbers of at most so many rows are broadcast: about 64 MB.
+MOST_SENT = 4_000_000
 _WIDTH = BITS // PARTITIONS
 _CHUNK = 1 << 21
 _SHORT = 50
@@ -403,11 +405,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, exact: int = EXACT) -> DataFrame:
-    """``docs`` with one row of each group of :func:`near_duplicates`; columns as they are."""
-    path = fresh_path(docs.sparkSession, "simhash-docs")
-    stored = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.monotonically_increasing_id().alias("__row"), sketch(F.col(text_col).cast("string")).alias("__sk"))
-    stored.write.option("compression", "zstd").parquet(path)
-    stored = docs.sparkSession.read.schema(stored.schema).parquet(path)
-    grouped = materialize(_grouped(stored.select("__row", F.col(id_col).alias("doc_id"), F.col("__sk").alias("sk")), distance, exact), "simhash-groups")
-    gone = grouped.join(_first(grouped).filter("group_size > 1"), "root").filter(F.col("__row") != F.col("__first.row")).select("__row")
-    return stored.join(gone, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with one row of each group of :func:`near_duplicates`; columns as they are.
+
+    Up to MOST_SENT rows that go are broadcast as numbers, so that no text is shuffled;
+    beyond it Spark joins by sort.
+    """
+    row, sk = free_names(docs.columns, "__row", "__sk")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    stored = materialize(docs.select(*own, F.monotonically_increasing_id().alias(row), sketch(F.col(text_col).cast("string")).alias(sk)), "simhash-docs")
+    grouped = materialize(_grouped(stored.select(F.col(row).alias("__row"), F.col(id_col).alias("doc_id"), F.col(sk).alias("sk")), distance, exact), "simhash-groups")
+    gone = grouped.join(_first(grouped).filter("group_size > 1"), "root").filter(F.col("__row") != F.col("__first.row")).select(F.col("__row").alias(row))
+    gone = materialize(gone, "simhash-gone")
+    if gone.count() <= MOST_SENT:
+        gone = F.broadcast(gone)
+    return stored.join(gone, row, "left_anti").select(*own)
