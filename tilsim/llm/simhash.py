@@ -31,7 +31,8 @@ EXACT = 21
 MOST_SENT = 4_000_000
 _WIDTH = BITS // PARTITIONS
 _CHUNK = 1 << 21
-_SHORT = 50
+#: Weight of the words of a text against its pairs where none recurs.
+_WORDS = 6.0
 #: Bytes of probes that one task sorts at once.
 _BUCKET = 24 << 20
 #: Cost of a probe row against that of a candidate pair.
@@ -73,9 +74,21 @@ def _signs(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(wide.view(np.uint8), axis=1).astype(np.float32)
 
 
+def _total(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """The weighted sum of the signs of the hashes, scaled to a mean square of 1, and how
+    far the hashes are distinct: 1 if all are, less the more the weightiest recur."""
+    total = np.zeros(BITS, np.float32)
+    for s in range(0, len(h), 8192):
+        w = weight[s : s + 8192]
+        total += 2 * (w @ _signs(h[s : s + 8192])) - w.sum()
+    square = max(float((total.astype(np.float64) ** 2).mean()), 1e-9)
+    return total / square**0.5, min(1.0, float((weight.astype(np.float64) ** 2).sum()) / square)
+
+
 def sketches(texts: list[str | None]) -> list[bytes]:
-    """32 bytes per text. Words weigh by their length (longer ones are rarer), in texts of
-    up to 50 words adjacent pairs count a little too, so that order matters there. A text
+    """32 bytes per text. Words weigh by their length (longer ones are rarer), adjacent
+    pairs by their shorter word. Next to the pairs the words count the less, the more they
+    recur, so that long texts don't meet by the vocabulary of their language. A text
     without words, null as well as empty, gets a digest of its characters instead."""
     import hashlib
 
@@ -97,13 +110,10 @@ def sketches(texts: list[str | None]) -> list[bytes]:
                 if a == b:
                     out.append(hashlib.blake2b(text, digest_size=32).digest())
                     continue
-                total = np.zeros(BITS, np.float32)
-                for s in range(a, b, 8192):
-                    e = min(b, s + 8192)
-                    total += 2 * (weight[s:e] @ _signs(h[s:e])) - weight[s:e].sum()
-                if 1 < b - a <= _SHORT:
-                    w = 0.2 * np.minimum(weight[a : b - 1], weight[a + 1 : b])
-                    total += 2 * (w @ _signs(_mix(h[a : b - 1] * _K[3] + h[a + 1 : b]))) - w.sum()
+                total, distinct = _total(h[a:b], weight[a:b])
+                if b - a > 1:
+                    pairs, _ = _total(_mix(h[a : b - 1] * _K[3] + h[a + 1 : b]), np.minimum(weight[a : b - 1], weight[a + 1 : b]))
+                    total = _WORDS * distinct * total + pairs
                 out.append(np.packbits(total > 0).tobytes())
             at = to
     return out
