@@ -122,10 +122,13 @@ def _date(m: re.Match, key: bytes, inverse: bool) -> str | None:
         new = dt.date.fromordinal(_FIRST + permute(n, _DAYS, key, b"date", inverse))
         parts = {"y": new.year, "m": new.month, "d": new.day}
     elif order == "dmy":
-        x = permute(((parts["y"] - 1900) * 12 + parts["m"] - 1) * 16 + parts["d"] - 13, 200 * 12 * 16, key, b"date-dmy", inverse)
-        while not _valid(1900 + x // 192, x // 16 % 12 + 1, x % 16 + 13):
-            x = permute(x, 200 * 12 * 16, key, b"date-dmy", inverse)
-        parts = {"y": 1900 + x // 192, "m": x // 16 % 12 + 1, "d": x % 16 + 13}
+        days = 19  # 13 to 31
+        x = ((parts["y"] - 1900) * 12 + parts["m"] - 1) * days + parts["d"] - 13
+        while True:
+            x = permute(x, 200 * 12 * days, key, b"date-dmy", inverse)
+            if _valid(1900 + x // (12 * days), x // days % 12 + 1, x % days + 13):
+                break
+        parts = {"y": 1900 + x // (12 * days), "m": x // days % 12 + 1, "d": x % days + 13}
     else:
         high = 31
         x = ((parts["y"] - 1900) * 12 + parts["m"] - 1) * high + parts["d"] - 1
