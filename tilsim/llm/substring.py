@@ -8,7 +8,7 @@ WINDOW neighbours, so equal substrings of 2 x WINDOW - 1 bytes have an anchor in
    can't begin a repeat; one whose occurrences all follow the same earlier anchor begins
    no maximal one. The others are the prefixes that split the suffixes into groups.
 2. A text cuts its suffixes where the windows that others share end, which is a different
-   length for each, and sends them to the group of their prefix.
+   length for each, and sends such a run to the groups of its prefixes with their places.
 3. A group is sorted into a suffix tree in memory (order, common prefixes, intervals). The
    internal nodes that are deep enough, with what their leaves share to the left, are the
    repeats; each leaf reports the longest it lies in.
@@ -32,6 +32,8 @@ WINDOW = 100
 _BUCKET = 12 << 20
 _BLOCK = 4 << 20
 _CHUNK = 1 << 21
+#: Suffixes of one group that together have at most so many bytes are copied.
+_COPIED = 4 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -102,8 +104,61 @@ def _common_prefix(a: bytes, b: bytes) -> int:
     return low if a[low : low + 1] != b[low : low + 1] else low + 1
 
 
-def tree(right: list[bytes], left: list[bytes], least: int) -> tuple[list[tuple[int, int, int, int, int, int]], list[int]]:
-    """The repeats of one group of suffixes: for each leaf a few of (leaf, bytes to
+class Suffixes:
+    """Suffixes of several texts as places, not as copies: their ranks and common prefixes.
+
+    Ranks of the first 2^j bytes at every place, by doubling; a suffix ends where its text
+    does. All levels are held: 4 bytes for each place and level."""
+
+    def __init__(self, texts: list[bytes], row: np.ndarray, off: np.ndarray):
+        size = np.array([len(x) for x in texts], np.int64)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        self.pos, self.ends = edge[row] + off, edge[row + 1]
+        n = int(edge[-1])
+        end = np.repeat(edge[1:], size)
+        rank = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32) + 1
+        self.levels, step, most = [rank], 1, int(size.max(initial=0))
+        while step < most:
+            then = np.zeros(n, np.int64)
+            then[:-step] = rank[step:]
+            then[np.arange(step, n + step) >= end] = 0
+            found, rank = np.unique(rank * np.int64(n + 258) + then, return_inverse=True)
+            rank = rank.astype(np.int32) + 1
+            self.levels.append(rank)
+            step *= 2
+            if len(found) == n:
+                break
+        self.keys = rank[self.pos].tolist()
+
+    def __len__(self) -> int:
+        return len(self.pos)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y, end, other = self.pos[a], self.pos[b], self.ends[a], self.ends[b]
+        for j in range(len(self.levels) - 1, -1, -1):
+            on = np.flatnonzero((x < end) & (y < other))
+            on = on[self.levels[j][x[on]] == self.levels[j][y[on]]]
+            step = np.minimum(1 << j, end[on] - x[on])
+            x[on] += step
+            y[on] += step
+        return x - self.pos[a]
+
+
+class Copies:
+    """The same for few bytes in all: the suffixes themselves are the keys."""
+
+    def __init__(self, keys: list[bytes]):
+        self.keys = keys
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.array([_common_prefix(self.keys[i], self.keys[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+
+
+def tree(right: Suffixes | Copies, left: list[bytes], least: int) -> tuple[np.ndarray, list[int]]:
+    """The repeats of one group of suffixes: for each leaf a few columns of (leaf, bytes to
     the left, bytes to the right, leaves that share it, their interval in the order), and
     the order.
 
@@ -113,10 +168,10 @@ def tree(right: list[bytes], left: list[bytes], least: int) -> tuple[list[tuple[
     shares most to the left.
     """
     n = len(right)
-    order = sorted(range(n), key=lambda i: (right[i], left[i]))
-    lcp = [0] + [_common_prefix(right[order[k - 1]], right[order[k]]) for k in range(1, n)] + [0]
+    order = sorted(range(n), key=lambda i: (right.keys[i], left[i]))
+    by = np.array(order, np.int64)
+    lcp = [0, *right.common(by[:-1], by[1:]).tolist(), 0]
     back = [0] + [_common_prefix(left[order[k - 1]], left[order[k]]) for k in range(1, n)] + [0]
-    low, high = [0] * n, [0] * n  # the deepest node's interval of each leaf
     stack: list[int] = []
     before = [0] * (n + 1)
     for k in range(n + 1):  # nearest smaller common prefix to the left of each border
@@ -131,26 +186,25 @@ def tree(right: list[bytes], left: list[bytes], least: int) -> tuple[list[tuple[
             stack.pop()
         after[k] = stack[-1] if stack else n
         stack.append(k)
-    out = []
-    for k in range(n):
-        border = k if lcp[k] >= lcp[k + 1] else k + 1
-        depth = lcp[border]
-        low[k], high[k] = before[border], after[border]
-        shared = max(back[k] if lcp[k] == depth else 0, back[k + 1] if lcp[k + 1] == depth else 0)
-        if depth and depth + shared >= least:
-            out.append((order[k], shared, depth, high[k] - low[k], low[k], high[k]))
+    deep, near = np.array(lcp), np.array(back)
+    at = np.arange(n)
+    border = np.where(deep[:-1] >= deep[1:], at, at + 1)
+    depth, low, high = deep[border], np.array(before)[border], np.array(after)[border]
+    shared = np.maximum(np.where(deep[:-1] == depth, near[:-1], 0), np.where(deep[1:] == depth, near[1:], 0))
+    nodes = np.stack([by, shared, depth, high - low, low, high])[:, (depth > 0) & (depth + shared >= least)]
     # the neighbours by what stands before: they may share more to the left, less to the right
     other = sorted(range(n), key=lambda i: left[i])
-    place = {i: k for k, i in enumerate(order)}
-    for a, b in zip(other, other[1:], strict=False):
-        shared = _common_prefix(left[a], left[b])
-        if not shared:
-            continue
-        depth = _common_prefix(right[a], right[b])
-        if depth and depth + shared >= least:
-            x, y = sorted((place[a], place[b]))
-            out += [(a, shared, depth, 2, x, y + 1), (b, shared, depth, 2, x, y + 1)]
-    return out, order
+    shared = np.array([_common_prefix(left[a], left[b]) for a, b in zip(other, other[1:], strict=False)], np.int64)
+    some = np.flatnonzero(shared)
+    a, b, shared = np.array(other, np.int64)[some], np.array(other, np.int64)[some + 1], shared[some]
+    depth = right.common(a, b)
+    some = np.flatnonzero((depth > 0) & (depth + shared >= least))
+    a, b, shared, depth = a[some], b[some], shared[some], depth[some]
+    place = np.empty(n, np.int64)
+    place[by] = at
+    x, y = np.minimum(place[a], place[b]), np.maximum(place[a], place[b]) + 1
+    two = np.full(len(a), 2)
+    return np.concatenate([nodes, np.stack([a, shared, depth, two, x, y]), np.stack([b, shared, depth, two, x, y])], axis=1), order
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, window: int = WINDOW) -> DataFrame:
@@ -222,10 +276,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     by_block = given.withColumn("bucket", F.pmod("tid", F.lit(blocks)))
     groups = pieces(total, _BLOCK)
-    suffix = f"bucket bigint, h bigint, doc_id {kind}, start int, rights binary, lefts binary, length int, digest bigint"
+    suffix = f"bucket bigint, hs binary, doc_id {kind}, start int, at int, raw binary, offs binary, length int, digest bigint"
 
     def cut(t: pa.Table, marks: pa.Table) -> pa.Table:
-        cols: dict[str, list] = {c: [] for c in ("bucket", "h", "doc_id", "start", "rights", "lefts", "length", "digest")}
+        cols: dict[str, list] = {c: [] for c in ("bucket", "hs", "doc_id", "start", "at", "raw", "offs", "length", "digest")}
 
         def add(*row):
             for c, v in zip(cols.values(), row, strict=True):
@@ -246,62 +300,79 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             first = min((d for d in owners if d is not None), default=None)
             if len(owners) > 1:
                 for d in owners:
-                    add(-1, None, d, 0, None, None, len(raw.decode("utf-8")), tid)
+                    add(-1, None, d, 0, None, None, None, len(raw.decode("utf-8")), tid)
             a, b = where.get(tid, (0, 0))
             if a == b:
                 continue
             p = pos[a:b]
             last = np.append(np.diff(p) > window, True)  # where a run of shared windows ends
-            end = p[np.flatnonzero(last)][np.searchsorted(np.flatnonzero(last), np.arange(b - a))] + 2 * window
+            run = np.searchsorted(np.flatnonzero(last), np.arange(b - a))
+            end = p[np.flatnonzero(last)].astype(np.int64) + 2 * window
             data = np.frombuffer(raw, np.uint8)
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            for k in np.flatnonzero(begins[a:b]).tolist():
-                s = int(p[k])
-                key = int(h[a + k])
-                add(key % groups, np.uint64(key).astype(np.int64).item(), first, int(chars[s]), raw[s : int(end[k])], raw[max(0, s - window) : s][::-1], None, tid)
+            k = np.flatnonzero(begins[a:b])
+            to = (h[a:b][k] % np.uint64(groups)).astype(np.int64)
+            k = k[np.lexsort((k, run[k], to))]  # a run goes to each group once, with the places of its suffixes there
+            to = (h[a:b][k] % np.uint64(groups)).astype(np.int64)
+            firsts = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (run[k][1:] != run[k][:-1])])) if len(k) else np.zeros(0, np.int64)
+            for x, y in zip(firsts.tolist(), np.append(firsts[1:], len(k)).tolist(), strict=True):
+                own = k[x:y]
+                s = max(0, int(p[own[0]]) - window)
+                add(int(to[x]), h[a:b][own].tobytes(), first, int(chars[s]), s, raw[s : int(end[run[own[0]]])], (p[own] - s).astype(np.int32).tobytes(), None, tid)
         return pa.table({
-            "bucket": pa.array(cols["bucket"], pa.int64()), "h": pa.array(cols["h"], pa.int64()), "doc_id": pa.array(cols["doc_id"], t["doc_id"].type), "start": pa.array(cols["start"], pa.int32()),
-            "rights": pa.array(cols["rights"], pa.binary()), "lefts": pa.array(cols["lefts"], pa.binary()), "length": pa.array(cols["length"], pa.int32()), "digest": pa.array(cols["digest"], pa.int64()),
+            "bucket": pa.array(cols["bucket"], pa.int64()), "hs": pa.array(cols["hs"], pa.binary()), "doc_id": pa.array(cols["doc_id"], t["doc_id"].type), "start": pa.array(cols["start"], pa.int32()), "at": pa.array(cols["at"], pa.int32()),
+            "raw": pa.array(cols["raw"], pa.binary()), "offs": pa.array(cols["offs"], pa.binary()), "length": pa.array(cols["length"], pa.int32()), "digest": pa.array(cols["digest"], pa.int64()),
         })
 
     cut_up = materialize(by_block.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(cut, suffix), "substring-suffixes")
     result = f"doc_id {kind}, start int, length int, n_occurrences bigint, first_doc_id {kind}, repeat_id bigint"
 
     def trees(t: pa.Table) -> pa.Table:
-        h = t["h"].to_numpy()
+        h, off = _joined(t, "hs", np.uint64), _joined(t, "offs", np.int32).astype(np.int64)
+        row = np.repeat(np.arange(t.num_rows), [len(x) // 4 for x in t["offs"].to_pylist()])
         by = np.argsort(h, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
-        docs_, starts = t["doc_id"].to_pylist(), t["start"].to_pylist()
-        rights, lefts = t["rights"].to_pylist(), t["lefts"].to_pylist()
+        docs_, starts, tids, raws = t["doc_id"].to_pylist(), t["start"].to_pylist(), t["digest"].to_numpy(), t["raw"].to_pylist()
+        at = t["at"].to_numpy().astype(np.int64)
+        size = np.array([len(x) for x in raws], np.int64)
         rows: list[tuple] = []
         for a, b in zip(edges.tolist(), np.append(edges[1:], len(by)).tolist(), strict=True):
             if b - a < 2:
                 continue
-            own = by[a:b].tolist()
-            right, left = [rights[i] for i in own], [lefts[i] for i in own]
+            owner, place = row[by[a:b]], off[by[a:b]]
+            pairs = list(zip(owner.tolist(), place.tolist(), strict=True))
+            left = [raws[i][max(0, s - window) : s][::-1] for i, s in pairs]
+            if int((size[owner] - place).sum()) <= _COPIED:
+                right = Copies([raws[i][s:] for i, s in pairs])
+            else:
+                some, index = np.unique(owner, return_inverse=True)
+                right = Suffixes([raws[i] for i in some.tolist()], index, place)
             spans, order = tree(right, left, least)
-            if not spans:
+            if not spans.shape[1]:
                 continue
-            in_order = [docs_[own[i]] for i in order]
+            leaf, back, depth, n, x, y = spans
+            own = owner[leaf]
+            s, e = place[leaf] - back, place[leaf] + depth
+            for _ in range(3):  # characters cut at either end go
+                s = s + np.array([p < q and raws[i][p] & 0xC0 == 0x80 for i, p, q in zip(own.tolist(), s.tolist(), e.tolist(), strict=True)], np.int64)
+                e = e - np.array([p < q < len(raws[i]) and raws[i][q] & 0xC0 == 0x80 for i, p, q in zip(own.tolist(), s.tolist(), e.tolist(), strict=True)], np.int64)
+            # spans within another one of the same text go
+            order_ = np.lexsort((-n, -(at[own] + e), at[own] + s, tids[own]))
+            in_order = [docs_[owner[i]] for i in order]
             lows: dict[tuple[int, int], object] = {}
-            widest: dict[int, list[tuple[int, int]]] = {}
-            for leaf, back, depth, n, x, y in sorted(spans, key=lambda r: (r[0], -r[1] - r[2], -r[3])):
-                taken = widest.setdefault(leaf, [])
-                if any(back <= p and depth <= q for p, q in taken):
-                    continue  # lies within another span of this leaf
-                taken.append((back, depth))
-                if (x, y) not in lows:
-                    lows[x, y] = min((d for d in in_order[x:y] if d is not None), default=None)
-                before, after = left[leaf][:back][::-1], right[leaf][:depth]
-                s = 0
-                while s < len(before) and before[s] & 0xC0 == 0x80:
-                    s += 1
-                e = len(after)
-                while e and right[leaf][e : e + 1] and right[leaf][e] & 0xC0 == 0x80:
-                    e -= 1  # a character cut at the end goes
-                span = before[s:] + after[:e]
-                ahead = len(before[s:].decode("utf-8", "ignore"))
-                rows.append((docs_[own[leaf]], starts[own[leaf]] - ahead, ahead + len(after[:e].decode("utf-8", "ignore")), n, lows[x, y], xxhash.xxh64_intdigest(span) - (1 << 63)))
+            tid, last = None, -1
+            for k in order_.tolist():
+                i, p, q = int(own[k]), int(s[k]), int(e[k])
+                if tids[i] != tid:
+                    tid, last = tids[i], -1
+                if at[i] + q <= last or p >= q:
+                    continue
+                last = int(at[i]) + q
+                u, v = int(x[k]), int(y[k])
+                if (u, v) not in lows:
+                    lows[u, v] = min((d for d in in_order[u:v] if d is not None), default=None)
+                span = raws[i][p:q]
+                rows.append((docs_[i], starts[i] + len(raws[i][:p].decode("utf-8", "ignore")), len(span.decode("utf-8", "ignore")), int(n[k]), lows[u, v], xxhash.xxh64_intdigest(span) - (1 << 63)))
         names = [c.split()[0] for c in result.split(", ")]
         kinds = [t["doc_id"].type, pa.int32(), pa.int32(), pa.int64(), t["doc_id"].type, pa.int64()]
         return pa.table({c: pa.array([r[k] for r in rows], x) for k, (c, x) in enumerate(zip(names, kinds, strict=True))})
