@@ -75,6 +75,12 @@ def fold(text: str) -> tuple[str, str]:
     return bare, bare.translate(fold_table())
 
 
+def _written(span: str, stem: str) -> bool:
+    """Whether a span that folds to the stem is the stem, plain or with some character that
+    is no letter of the alphabet; with plain letters alone it may be another word."""
+    return span.lower() == stem or any(not c.isalpha() or not unicodedata.name(c, "").startswith("LATIN ") for c in span)
+
+
 class Matcher:
     def __init__(self, lexicon: Mapping[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS, stems: tuple[tuple[str, float], ...] = ()):
         import ahocorasick
@@ -103,7 +109,7 @@ class Matcher:
         found = []
         for end, (n, weight, stem) in self.auto.iter(folded):
             start = end - n + 1
-            if (start == 0 or not bare[start - 1].isalpha()) and (bare[start : end + 1].lower() == stem if stem else end + 1 == len(bare) or not bare[end + 1].isalpha()):
+            if (start == 0 or not bare[start - 1].isalpha()) and (_written(bare[start : end + 1], stem) if stem else end + 1 == len(bare) or not bare[end + 1].isalpha()):
                 found.append((n, weight, start, end))
         if not found:
             return 0, 0.0
