@@ -23,7 +23,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize_documents(table(spark, sf_dir, "documents"))
+    return pii.pseudonymize_documents(table(spark, sf_dir, "documents"), key=pii.session_key(spark))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
