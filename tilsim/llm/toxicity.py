@@ -153,18 +153,23 @@ def toxicity(text: Column, lexicon: Mapping[str, float] | None = None, exception
 
 #: At most so many labelled rows of each class are read to learn stems.
 LEARN_ROWS = 3000
+#: Signed root of the likelihood ratio from which a beginning marks toxic documents.
+Z = 4.5
 _STEM = (4, 11)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = 5, odds: float = 3.0, z: float = 4.5) -> list[tuple[str, float]]:
+def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = 5, odds: float = 3.0, z: float = Z) -> list[tuple[str, float]]:
     """Word beginnings that mark toxic documents of any language, with their weights.
 
     From at most ``rows`` labelled documents of each class, picked by a hash of the id:
     beginnings of 4 to 11 letters, counted where a document has them twice or more, whose
-    log odds between the classes are at least ``odds`` and lie ``z`` standard errors from 0. The shortest such beginning stands for
-    the longer ones; one that begins a term of the lexicon is left to the lexicon. Without
-    labels of both classes nothing is learnt. The ids are broadcast: at most 2 x ``rows``.
+    log odds between the classes are at least ``odds`` and whose likelihood ratio against
+    equal shares has a root of at least ``z``, which holds at zero counts as well. The
+    shortest such beginning stands for the longer ones; one that begins a term of the lexicon
+    is left to the lexicon. Null texts, ids and labels teach nothing; of repeated ids the mean
+    label rounds, a tie to 1. Without labels of both classes nothing is learnt. The ids are
+    broadcast: at most 2 x ``rows``.
     """
     lab = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).dropna().groupBy("__id").agg(F.floor(F.avg("__y") + 0.5).cast("int").alias("__y"))
     order = F.md5(F.col("__id").cast("string").cast("binary"))
@@ -194,7 +199,14 @@ def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_c
         return []
     a, b = F.col("a"), F.col("b")
     lo = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
-    found = counts.filter((F.col("s") != "") & (a >= least)).withColumn("lo", lo).filter((F.col("lo") >= odds) & (F.col("lo") / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= z))
+
+    def against(seen: Column, n: int) -> Column:
+        """Twice the log likelihood of a share against that of both classes together."""
+        both = (a + b) / float(n1 + n0)
+        part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+        return 2 * (part(seen, both) + part(n - seen, 1 - both))
+
+    found = counts.filter((F.col("s") != "") & (a >= least)).withColumn("lo", lo).filter((F.col("lo") >= odds) & (F.sqrt(against(a, n1) + against(b, n0)) >= z))
     chosen: dict[str, float] = {}
     for s, value in sorted(((r["s"], r["lo"]) for r in found.select("s", "lo").collect()), key=lambda x: (len(x[0]), x[0])):
         if not any(s[:k] in chosen for k in range(_STEM[0], len(s))) and not any(t.startswith(s) for t in LEXICON):
@@ -215,6 +227,10 @@ def score_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: st
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the toxic rows; columns and other rows as they are."""
+    """``docs`` without the toxic rows; columns and other rows as they are.
+
+    Rows with a null or empty text stay, repeated rows go or stay together, null ids stay;
+    an empty table gives an empty one. No text is shuffled.
+    """
     stems = learn_stems(docs, labels, id_col=id_col, text_col=text_col) if labels is not None else []
     return docs.filter(~toxicity(F.col(text_col).cast("string"), stems=stems, threshold=threshold)["toxic"])
