@@ -54,9 +54,13 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "pages"))
 
 
+def media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_media_columns(spark, sf_dir).select("page_id", "digest", "raw_length", "kind", "title")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_quality_classifier, op4_pii, op5_quality_rules, quality_rule_ablation, op6_mixing, op7_simhash, op8_toxicity, op9_lm_scoring, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_quality_classifier, op4_pii, op5_quality_rules, quality_rule_ablation, op6_mixing, op7_simhash, op8_toxicity, op9_lm_scoring, op10_media_columns, media_digests)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.ledger_sql(), "quality_rule_ablation": quality_rules.ablation_sql(), "op6_mixing": mixing.MIX_SQL}
+    return {"op5_quality_rules": quality_rules.ledger_sql(), "quality_rule_ablation": quality_rules.ablation_sql(), "op6_mixing": mixing.MIX_SQL, "media_digests": media.DIGESTS_SQL}
