@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilsim.llm.quality_rules import measurements
+from tilsim.llm.quality_rules import measurements, measurements_sql
 
 #: Feature, SQL over the measurements, bins per unit; a bin is floor(value x bins), cut at CUT.
 FEATURES = (
@@ -27,11 +27,13 @@ FEATURES = (
     ("distinct", "n_distinct_words / greatest(n_words, 1)", 10.0),
     ("length", "ln(n_chars) / 2", 2.0),
 )
+#: The last bin takes all above it.
 CUT = 40
 SMOOTH = 1.0
 #: Each feature is damped by this factor, as the features overlap.
 DAMP = 0.7
 KEEP_FROM = 0.5
+#: Documents that a prior counts as, at least and at most.
 _LEAST, _MOST = 1.0, 1000.0
 
 
@@ -104,3 +106,33 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = scored.join(site, ["__host", "__path"])
     score = _sigmoid(F.col("evidence") + _logit(F.col("__prate")))
     return out.select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("__hrate", 6).alias("host_rate"), F.round("__prate", 6).alias("path_rate"), F.round(score, 6).alias("score"), (F.round(score, 6) >= KEEP_FROM).alias("keep"))
+
+
+def classify_sql() -> str:
+    """DuckDB SQL for ``classify(documents, labels)``."""
+    n = len(FEATURES)
+    bins = ", ".join(f"least(greatest(coalesce(floor(round((CASE WHEN n_chars > 0 THEN {sql} ELSE 0 END)::DOUBLE * {k}, 6)), 0), 0), {CUT})::INT AS b{i}" for i, (_, sql, k) in enumerate(FEATURES))
+    long = " UNION ALL ".join(f"SELECT {i} AS f, b{i} AS b, y FROM rows WHERE y IS NOT NULL" for i in range(n))
+    joins = " ".join(f"LEFT JOIN llr r{i} ON r{i}.f = {i} AND r{i}.b = b{i}" for i in range(n))
+    total = " + ".join(f"coalesce(r{i}.v, 0.0)" for i in range(n))
+    kappa = lambda m: f"least(greatest({m} * (1 - {m}) / greatest(spread - noise, 1e-9) - 1, {_LEAST}), {_MOST})"
+    moments = lambda prior: f"sum(n * (good / n - {prior}) * (good / n - {prior})) / sum(n) AS spread, sum({prior} * (1 - {prior})) / sum(n) AS noise, max({prior}) AS m"
+    return f"""
+    WITH {measurements_sql("documents", "coalesce(source, chr(0)) AS host, coalesce(lang, chr(0)) AS path")},
+    lab AS (SELECT doc_id, floor(avg(quality::DOUBLE) + 0.5)::INT AS y FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+    rows AS (SELECT m.doc_id, host, path, y, {bins} FROM m LEFT JOIN lab ON m.doc_id = lab.doc_id),
+    per AS (SELECT f, b, sum(y)::DOUBLE AS good, count(*)::DOUBLE AS n FROM ({long}) GROUP BY ALL),
+    totals AS (SELECT coalesce(sum(good), 0.0) AS good, coalesce(sum(n), 0.0) AS n FROM per WHERE f = 0),
+    smooth AS (SELECT good, n, good + {SMOOTH * (CUT + 1)} AS g, n - good + {SMOOTH * (CUT + 1)} AS h, (good + {SMOOTH}) / (n + {2 * SMOOTH}) AS prior FROM totals),
+    llr AS (SELECT f, b, {DAMP} * ln(((per.good + {SMOOTH}) / g) / ((per.n - per.good + {SMOOTH}) / h)) AS v FROM per, smooth),
+    scored AS (SELECT rows.*, round({total}, 9) AS evidence FROM rows {joins}),
+    own AS (SELECT *, coalesce(y::DOUBLE, 1 / (1 + exp(-(evidence + ln(prior / (1 - prior)))))) AS p FROM scored, smooth),
+    paths AS (SELECT host, path, sum(p) AS good, count(*)::DOUBLE AS n FROM own GROUP BY ALL),
+    hosts AS (SELECT host, sum(good) AS good, sum(n) AS n FROM paths GROUP BY host),
+    whole AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS prior FROM hosts),
+    hk AS (SELECT {kappa('m')} AS kappa, m AS prior FROM (SELECT {moments('prior')} FROM hosts, whole)),
+    hr AS (SELECT host, (good + kappa * prior) / (n + kappa) AS rate FROM hosts, hk),
+    pk AS (SELECT host, {kappa('m')} AS kappa, m AS rate FROM (SELECT host, {moments('rate')} FROM paths JOIN hr USING (host) GROUP BY host)),
+    pr AS (SELECT host, path, rate AS host_rate, (good + kappa * rate) / (n + kappa) AS path_rate FROM paths JOIN pk USING (host)),
+    done AS (SELECT doc_id, evidence, host_rate, path_rate, round(1 / (1 + exp(-(evidence + ln(path_rate / (1 - path_rate))))), 6) AS score FROM own JOIN pr USING (host, path))
+    SELECT doc_id, round(evidence, 6) AS evidence, round(host_rate, 6) AS host_rate, round(path_rate, 6) AS path_rate, score, score >= {KEEP_FROM} AS keep FROM done"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.ledger_sql(), "quality_rule_ablation": quality_rules.ablation_sql(), "op6_mixing": mixing.MIX_SQL, "media_digests": media.DIGESTS_SQL}
+    return {"op3_quality_classifier": quality_classifier.classify_sql(), "op5_quality_rules": quality_rules.ledger_sql(), "quality_rule_ablation": quality_rules.ablation_sql(), "op6_mixing": mixing.MIX_SQL, "media_digests": media.DIGESTS_SQL}
