@@ -108,3 +108,34 @@ def test_ablation_counts(spark, docs_of):
     assert got["v1", "empty"] == (1, 1) and got["v1", "upper_heavy"] == (1, 1) and got["v2", "symbol_heavy"][0] == 1
     kept = {r["doc_id"]: r["keep"] for r in quality_rules.apply_policies(led).collect()}
     assert kept == {1: False, 2: True, 3: False, 4: False}
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, awkward, nothing, stage):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    out = run(spark, awkward, SF)
+    got = out.collect()
+    assert run(spark, nothing, SF).count() == 0
+    if stage == "bpe":
+        codec = bpe.codec(bpe.VOCABULARY)
+        assert sorted(((r["doc_id"], codec.decode(r["token_ids"]) if r["token_ids"] is not None else None) for r in got), key=repr) == sorted(rows, key=repr)
+        return
+    assert out.columns == awkward.columns
+    left = [(r["doc_id"], r["text"]) for r in got]
+    if stage in ("toxicity", "pii"):  # nothing here is toxic or personal
+        assert sorted(left, key=repr) == sorted(rows, key=repr)
+    elif stage == "near_duplicates":
+        assert sorted({t for _, t in left}, key=repr) == sorted({t or None for _, t in rows} - {None} | {None}, key=repr)
+        assert sorted((i is None, i or 0) for i, _ in left) == [(False, 1), (False, 2), (False, 4), (False, 5), (False, 7), (True, 0)]
+    else:
+        assert set(left) <= set(rows)
+        for i, t in set(left):  # repeated rows draw alike
+            assert left.count((i, t)) % rows.count((i, t)) == 0
+    assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else r["n_chars"]) for r in got)
+
+
+def test_pseudonyms_without_a_count_of_characters(spark, awkward):
+    out = corpus_pipeline.pseudonymize(spark, awkward.drop("n_chars"), SF)
+    assert "n_chars" not in out.columns and out.count() == awkward.count()
