@@ -83,33 +83,20 @@ def stress_mark(word: Column) -> Column:
     return F.when(word == "", "").otherwise(F.array_join(F.transform(syllables(low), lambda s, i: F.when(i == at, tr_upper(s)).otherwise(s)), "·"))
 
 
+_ONE_TO_ONE = {c: x for c, x in IPA.items() if len(x) == 1 and c != x}
+
+
 def ipa(text: Column) -> Column:
     """IPA letter by letter. ğ lengthens the vowel before it inside a word and is silent
     elsewhere; k and l go by the nearest vowel to the left, else to the right, anywhere in
-    the text. One fold over the letters, which carries the last vowel."""
-    low = F.lower(text)
-    letters = F.filter(F.split(low, ""), lambda c: c != "")
-    first = F.coalesce(F.nullif(F.regexp_extract(low, f"([{VOWELS}])", 1), F.lit("")), F.lit(""))
-    table = F.create_map(*(F.lit(x) for pair in IPA.items() for x in pair))
-    length = F.size(letters)
-
-    def step(acc: Column, x: Column) -> Column:
-        ch, nxt = x["c"], x["next"]
-        front = F.instr(F.lit(FRONT), acc["vowel"]) > 0
-        back = F.instr(F.lit(BACK), acc["vowel"]) > 0
-        some = acc["vowel"] != ""
-        sound = (
-            F.when(ch == "ğ", F.when((acc["before"] != "") & (F.instr(F.lit(VOWELS), acc["before"]) > 0) & nxt.isNotNull() & ~nxt.isin(" ", "\t", "\n"), "ː").otherwise(""))
-            .when(ch == "k", F.when(some & front, "c").otherwise("k"))
-            .when(ch == "l", F.when(some & back, "ɫ").otherwise("l"))
-            .otherwise(F.coalesce(table[ch], ch))
-        )
-        return F.struct(
-            F.concat(acc["out"], sound).alias("out"),
-            F.when(F.instr(F.lit(VOWELS), ch) > 0, ch).otherwise(acc["vowel"]).alias("vowel"),
-            ch.alias("before"),
-        )
-
-    pairs = F.transform(letters, lambda c, i: F.struct(c.alias("c"), F.when(i + 1 < length, F.get(letters, i + 1)).alias("next")))
-    start = F.struct(F.lit("").alias("out"), first.alias("vowel"), F.lit("").alias("before"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    the text: the text is cut before each vowel, and each piece has its letters replaced."""
+    low = F.regexp_replace(F.lower(text), f"(?<=[{VOWELS}])ğ(?=[^ \t\n])", "ː")
+    low = F.replace(F.replace(F.replace(low, F.lit("ğ")), F.lit("c"), F.lit("dʒ")), F.lit("ç"), F.lit("tʃ"))
+    first = F.regexp_extract(low, f"[{VOWELS}]", 0)
+
+    def by(piece: Column, vowel: Column) -> Column:
+        return F.when(vowel == "", piece).when(F.instr(F.lit(FRONT), vowel) > 0, F.replace(piece, F.lit("k"), F.lit("c"))).otherwise(F.replace(piece, F.lit("l"), F.lit("ɫ")))
+
+    pieces = F.regexp_extract_all(low, F.lit(f"[{VOWELS}][^{VOWELS}]*"), F.lit(0))
+    sounded = F.concat(by(F.regexp_extract(low, f"^[^{VOWELS}]*", 0), first), F.array_join(F.transform(pieces, lambda p: by(p, F.substr(p, F.lit(1), F.lit(1)))), ""))
+    return F.translate(sounded, "".join(_ONE_TO_ONE), "".join(_ONE_TO_ONE.values()))

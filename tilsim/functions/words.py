@@ -68,15 +68,27 @@ def number_words(n: Column) -> Column:
     return F.when(a < F.lit(10**15), F.when(n < 0, F.concat(F.lit("eksi "), words)).otherwise(words))
 
 
+def plain_decimal(x: Column) -> Column:
+    """The shortest form of a number that isn't negative, without an exponent: 1.5E-5 is
+    0.000015; null for what is no number."""
+    text = x.cast("double").cast("string")
+    e = F.nullif(F.split_part(text, F.lit("E"), F.lit(2)), F.lit("")).try_cast("int")
+    digits = F.regexp_replace(F.replace(F.split_part(text, F.lit("E"), F.lit(1)), F.lit(".")), "0+$", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    low = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    part = F.substr(digits, e + 2)
+    high = F.concat(F.rpad(F.substr(digits, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.when(part == "", "0").otherwise(part))
+    return F.when(text.rlike("^[0-9]"), F.when(e.isNull(), text).when(e < 0, low).otherwise(high))
+
+
 def float_words(x: Column) -> Column:
-    """A decimal number digit by digit after the point; null where its shortest form has an
-    exponent, as at and beyond 10^7 and below 10^-3 but 0."""
-    text = F.abs(x.cast("double")).cast("string")
+    """A decimal number digit by digit after the point; null from 10^15 on."""
+    text = plain_decimal(F.abs(x.cast("double")))
     whole, part = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(text, F.lit("."), F.lit(2))
     digits = F.array_join(F.transform(F.split(part, ""), lambda d: F.element_at(F.array(*map(F.lit, ("sıfır", *ONES[1:]))), d.cast("int") + 1)), " ")
-    words = F.concat(number_words(whole.cast("bigint")), F.lit(" virgül "), digits)
+    words = F.concat(number_words(whole.try_cast("bigint")), F.lit(" virgül "), digits)
     minus = (x < 0) | (x.cast("string").startswith("-"))
-    return F.when(text.rlike("^[0-9]+\\.[0-9]+$"), F.when(minus, F.concat(F.lit("eksi "), words)).otherwise(words))
+    return F.when(minus, F.concat(F.lit("eksi "), words)).otherwise(words)
 
 
 def month_name(month: Column) -> Column:
@@ -119,21 +131,23 @@ def normalize(text: Column) -> Column:
     return F.array_join(F.transform(_filled(text), one), " ")
 
 
+_MARKS = "".join("\\" + c if c in ".[](){}?" else c for c in PUNCTUATION)
+_SPACE = _SPACES[1:-2]
+#: Stands for an apostrophe that ends a word and is dropped; no character of any text.
+_DROPPED = "\ufdd0"
+_LONE_APOSTROPHE = f"(?<![^{_SPACE}])([{_MARKS}]*+[^{_SPACE}{_MARKS}'][^{_SPACE}']*+)'(?=[{_MARKS}]*+(?![^{_SPACE}]))"
+_TOKEN = "(?! )(?:" + "|".join((
+    "[\\wÀ-ÖØ-öø-ſ]++(?=[ \\n]|\\z)",  # most words: letters up to a space
+    f"(?:(?<![^{_SPACE}])|\\G|(?<={_DROPPED}))[{_MARKS}]",  # a mark at either end of a chunk
+    f"[^{_SPACE}{_MARKS}'{_DROPPED}][^{_SPACE}'{_DROPPED}]*+(?=['{_DROPPED}])",  # a word before its apostrophe
+    f"[^{_SPACE}{_MARKS}'{_DROPPED}](?:[^{_SPACE}'{_DROPPED}]*[^{_SPACE}{_MARKS}'{_DROPPED}])?",  # a word without one
+    f"'(?:[^{_SPACE}]*[^{_SPACE}{_MARKS}])?",  # what an apostrophe begins
+)) + ")"
+
+
 def tokenize(text: Column) -> Column:
     """White space, then punctuation off both ends mark by mark, then the first apostrophe
-    inside a word, which stays with what follows it unless nothing does."""
-    marks = "".join("\\" + c if c in ".[](){}?" else c for c in PUNCTUATION)
-    chunk = f"^([{marks}]*)(.*?)([{marks}]*)$"
-
-    def split(t: Column) -> Column:
-        head = F.regexp_extract(t, chunk, 1)
-        body = F.regexp_extract(t, chunk, 2)
-        tail = F.regexp_extract(t, chunk, 3)
-        at = F.instr(body, "'")
-        left = F.when(at > 1, F.substr(body, F.lit(1), at - 1)).otherwise(body)
-        right = F.when(at > 1, F.substr(body, at)).otherwise(F.lit(""))
-        words = F.filter(F.array(left, F.when(right == "'", "").otherwise(right)), lambda w: w != "")
-        singles = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-        return F.concat(singles(head), words, singles(tail))
-
-    return F.flatten(F.transform(_filled(text), split))
+    inside a word, which stays with what follows it unless nothing does. One pass of one
+    pattern; null for a null text."""
+    kept = F.when(F.contains(text, F.lit("'")), F.regexp_replace(text, _LONE_APOSTROPHE, f"$1{_DROPPED}")).otherwise(text)
+    return F.regexp_extract_all(kept, F.lit(_TOKEN), F.lit(0))

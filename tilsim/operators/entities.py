@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilsim.functions.words import tokenize, tr_lower
@@ -39,7 +39,7 @@ def proper_type(base: Column, apostrophe: Column, first: Column, common: Column)
 def tag(texts: DataFrame, roots: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``<id_col>, index, surface, type, tokens`` of each name; ``index`` counts tokens from 1.
 
-    Neighbours join a span if their types go together, by a fold over the text's names: a
+    Neighbours join a span if their types go together, as islands of a window: a
     person takes names and surnames, a place or an organisation only head nouns, a name
     becomes a person's with a person's name. ``roots`` tells common words at a beginning.
     """
@@ -56,20 +56,15 @@ def tag(texts: DataFrame, roots: DataFrame | None = None, id_col: str = "doc_id"
         seen = an.analyze(firsts, roots).select(F.col("surface").alias("base"), F.exists("readings", lambda r: ~r["hypothetical"]).alias("common"))
         each = each.join(seen, "base", "left").withColumn("common", F.coalesce("common", F.lit(False)) & (F.col("i") == 0))
     named = each.withColumn("type", proper_type(F.col("base"), F.col("apos"), F.col("i") == 0, F.col("common"))).filter("type IS NOT NULL")
-    lines = named.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "base", "type"))).alias("names"))
-    span = "struct<index:int,type:string,tokens:array<string>,at:int>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (
-            (F.size(acc) > 0) & (x["i"] == last["at"] + 1)
-            & F.when(last["type"].isin("PER", "PROPER"), x["type"].isin("PER", "PROPER")).otherwise((x["type"] == "PROPER") & tr_lower(x["base"]).isin(*HEADS))
-        )
-        kind = F.when((last["type"] == "PROPER") & (x["type"] != "PROPER"), x["type"]).otherwise(last["type"])
-        longer = F.struct(last["index"].alias("index"), kind.alias("type"), F.concat(last["tokens"], F.array(x["base"])).alias("tokens"), x["i"].alias("at"))
-        alone = F.struct((x["i"] + 1).alias("index"), x["type"].alias("type"), F.array(x["base"]).alias("tokens"), x["i"].alias("at"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))
-        return F.when(F.coalesce(joins, F.lit(False)), grown).otherwise(F.concat(acc, F.array(alone))).cast(f"array<{span}>")
-
-    spans = lines.select(id_col, F.inline(F.aggregate("names", F.array().cast(f"array<{span}>"), step)))
-    return spans.select(id_col, "index", F.array_join("tokens", " ").alias("surface"), "type", "tokens")
+    # islands: a name that can only follow takes the kind of span of the name before it
+    w = Window.partitionBy(id_col).orderBy("i")
+    follows = F.coalesce(F.col("i") == F.lag("i").over(w) + 1, F.lit(False))
+    head = follows & (F.col("type") == "PROPER") & tr_lower(F.col("base")).isin(*HEADS)
+    named = named.withColumn("follows", follows).withColumn("head", head)
+    named = named.withColumn("fixed", F.when(~F.col("head"), ~F.col("type").isin("PER", "PROPER")))
+    named = named.withColumn("place", F.last("fixed", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = ~F.col("follows") | (~F.col("head") & (F.col("place") | F.lag("place").over(w)))
+    named = named.withColumn("span", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = named.groupBy(id_col, "span").agg(F.min(F.struct("i", "type")).alias("first"), F.max(F.when((F.col("type") == "PER") & ~F.col("place"), "PER")).alias("person"), F.array_sort(F.collect_list(F.struct("i", "base"))).alias("names"))
+    tokens = F.transform("names", lambda x: x["base"])
+    return spans.select(id_col, (F.col("first.i") + 1).alias("index"), F.array_join(tokens, " ").alias("surface"), F.coalesce("person", "first.type").alias("type"), tokens.alias("tokens"))

@@ -1,8 +1,8 @@
 """Word formation over columns and tables.
 
-Generators are Arrow UDFs over the string grammar: one batch in, one batch out, with the
-forms of a worker's recent (lemma, axes) pairs kept. Tables of a whole paradigm are cross
-joins with a small grid of cells, whose size doesn't depend on the data.
+Numerals, particles and reduplication are Column expressions. The other generators are
+Arrow UDFs over the string grammar: one batch in, one batch out. Tables of a whole paradigm
+are cross joins with a small grid of cells, whose size doesn't depend on the data.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilsim.functions import grammar as g
+from tilsim.functions.particles import NATIVE
 
 #: Name, and the positional parameters of the generator. Others are named axes.
 GENERATORS = {
@@ -42,6 +43,10 @@ def form(generator: str, *args: Column | str, strict: bool = False, **axes) -> C
         _check_axis(k, v)
     columns = {k: (F.col(v) if isinstance(v, str) else v) for k, v in given.items() if k not in constant}
     names = list(columns)
+    if generator in NATIVE and set(given) <= set(positional):
+        made = NATIVE[generator](**columns, **{k: F.lit(v) for k, v in constant.items()})
+        given_some = columns[names[0]].isNotNull()
+        return F.when(given_some & made.isNull(), F.raise_error(F.lit(f"no such form: {generator}"))).otherwise(made) if strict else made
 
     def run(rows: pa.Array) -> pa.Array:
         out = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import log
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,40 +95,176 @@ def rank_statistical(rows: DataFrame, emission: DataFrame, key: list[str], surfa
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("log_prob").desc(), "ord"))).drop("__s")
 
 
+#: Transitions go to every worker: pairs of states, whose number doesn't grow with the data.
+MOST_TRANSITIONS = 1_000_000
+
+
 def viterbi(tokens: DataFrame, emission: DataFrame, transition: DataFrame, sentence: str = "sent_id", idx: str = "idx", surface: str = "surface", candidates: str = "candidates") -> DataFrame:
     """``<sentence>, idx, pos``: the likeliest sequence of states through the candidates.
 
     ``candidates`` holds each token's states in order of first appearance; a token without
-    any stands as the sentence's end and gets null. A fold over the sentence in the JVM:
-    emissions come by a join, transitions (a few hundred rows) as a literal map, and of
-    equal paths the first stays.
+    any stands as the sentence's end and gets null. Emissions come by a join; one Arrow pass
+    over each sentence keeps a pointer back from each state, so it is linear in the tokens.
+    Of equal paths the first stays. More than MOST_TRANSITIONS pairs of states are an error.
     """
-    trans = {f"{r['prev']}\x00{r['next']}": r["log_prob"] for r in transition.collect()}
-    lp_map = _table(trans) if trans else F.create_map().cast("map<string,double>")
+    rows = transition.select("prev", "next", "log_prob").limit(MOST_TRANSITIONS + 1).collect()
+    if len(rows) > MOST_TRANSITIONS:
+        raise ValueError(f"more than {MOST_TRANSITIONS} transitions: these are no states of words")
+    hops: dict[str, dict[str, float]] = {}
+    for r in rows:
+        hops.setdefault(r["next"], {})[r["prev"]] = r["log_prob"]
     cand = F.array_distinct(F.when(F.size(candidates) > 0, F.col(candidates)).otherwise(F.array(F.lit(END))))
     each = tokens.select(sentence, idx, F.lower(surface).alias("__s"), F.posexplode(cand).alias("__o", "__p"))
     em = emission.select(F.col("pos").alias("__p"), F.col("surface").alias("__s"), F.col("log_prob").alias("__lp"))
     each = each.join(em, ["__p", "__s"], "left").withColumn("__lp", F.coalesce("__lp", F.lit(UNKNOWN)))
-    steps = each.groupBy(sentence, idx).agg(F.array_sort(F.collect_list(F.struct("__o", F.col("__p").alias("p"), F.col("__lp").alias("lp")))).alias("c"))
-    lines = steps.groupBy(sentence).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), "c"))).alias("line"))
-    cell = "struct<p:string,lp:double,path:array<string>>"
-    start = F.array(F.struct(F.lit(START).alias("p"), F.lit(0.0).alias("lp"), F.array().cast("array<string>").alias("path")))
-
-    def hop(prev: Column, nxt: Column) -> Column:
-        return F.coalesce(lp_map[F.concat(prev, F.lit("\x00"), nxt)], F.lit(UNKNOWN))
-
-    def best(states: Column, to: Column, add: Column) -> Column:
-        tried = F.transform(states, lambda s: F.struct((s["lp"] + hop(s["p"], to) + add).alias("lp"), s["path"].alias("path")))
-        top = F.array_max(F.transform(tried, lambda x: x["lp"]))
-        return F.element_at(F.filter(tried, lambda x: x["lp"] == top), 1)
-
-    def step(states: Column, x: Column) -> Column:
-        return F.transform(x["c"], lambda c: F.struct(c["p"].alias("p"), best(states, c["p"], c["lp"])["lp"].alias("lp"), F.concat(best(states, c["p"], c["lp"])["path"], F.array(c["p"])).alias("path")))
-
-    walked = lines.select(sentence, "line", F.aggregate("line", start.cast(f"array<{cell}>"), lambda s, x: step(s, x).cast(f"array<{cell}>")).alias("last"))
-    path = best(F.col("last"), F.lit(END), F.lit(0.0))["path"]
-    out = walked.select(sentence, F.inline(F.arrays_zip(F.transform("line", lambda x: x["i"]).alias("i"), path.alias("pos"))))
-    return out.select(sentence, F.col("i").alias(idx), F.nullif("pos", F.lit(END)).alias("pos"))
+    lines = each.groupBy(sentence).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("__o").alias("o"), F.col("__p").alias("p"), F.col("__lp").alias("lp")))).alias("line"))
+
+    def best(before: list[tuple[str, float]], to: str) -> tuple[float, int]:
+        hop = hops.get(to, {})
+        top, at = None, 0
+        for k, (state, lp) in enumerate(before):
+            total = lp + hop.get(state, UNKNOWN)
+            if top is None or total > top:
+                top, at = total, k
+        return top, at
+
+    def walk(line: list[dict]) -> list[dict]:
+        steps: list[tuple[object, list[str], list[int]]] = []
+        before, now = [(START, 0.0)], []
+        for k, x in enumerate(line):
+            lp, at = best(before, x["p"])
+            now.append((x["p"], lp + x["lp"], at))
+            if k + 1 == len(line) or line[k + 1]["i"] != x["i"]:
+                steps.append((x["i"], [p for p, _, _ in now], [a for _, _, a in now]))
+                before, now = [(p, v) for p, v, _ in now], []
+        out, (_, at) = [], best(before, END)
+        for i, states, back in reversed(steps):
+            out.append({"i": i, "pos": None if states[at] == END else states[at]})
+            at = back[at]
+        return out[::-1]
+
+    kind = lines.schema["line"].dataType.elementType["i"].dataType.simpleString()
+
+    def run(all_lines: pa.Array) -> pa.Array:
+        field = all_lines.type.value_type.field("i").type
+        return pa.array([walk(x) for x in all_lines.to_pylist()], pa.list_(pa.struct([("i", field), ("pos", pa.string())])))
+
+    run.__annotations__ = {"all_lines": pa.Array, "return": pa.Array}
+    path = F.arrow_udf(run, f"array<struct<i:{kind},pos:string>>")
+    return lines.select(sentence, F.inline(path("line"))).select(sentence, F.col("i").alias(idx), "pos")
+
+
+#: Words of several classes, which the sentence decides, and lemmas of pronouns.
+FUNCTION_WORDS = {
+    word: tuple(classes.split())
+    for classes, words in {
+        "Det Num": "bir", "Adverb Adj": "az böyle çok öyle şöyle", "Adverb": "daha en hemen hep pek", "Det": "her", "Det Adj": "bazı birçok bütün tüm",
+        "Adj Pron": "hangi kaç", "Pron Adj": "ne", "Pron Det": "bu o şu",
+    }.items() for word in words.split()
+}
+PRONOUNS = tuple("ben biz bu bunlar kendi kim ne o onlar sen siz şu şunlar".split())
+_OF_READINGS = {"adj": "Adj", "conj": "Conj", "num": "Num", "postp": "Postp", "verb": "Verb", "ünlem": "Interj"}
+_OF_LEXICON = {"adj": "Adj", "adv": "Adverb", "conj": "Conj", "det": "Det", "interj": "Interj", "noun": "Noun", "num": "Num", "postp": "Postp", "pron": "Pron", "verb": "Verb"}
+
+
+def reading_major(kind: Column, pos: Column) -> Column:
+    """The part of speech of a reading: Verb for verbal kinds, Noun for a copula, else by
+    its own class; Noun where that is unknown or null."""
+    own = F.coalesce(_table(_OF_READINGS)[pos], F.lit("Noun"))
+    return F.when(kind.isin("conjugate", "converb", "converb_casina", "converb_ken", "participle"), "Verb").when(kind == "copula", "Noun").otherwise(own)
+
+
+def reading_major_lex(kind: Column, pos: Column, lexicon_pos: Column) -> Column:
+    """The same, where a declined noun takes the finer class that the lexicon has for its
+    lemma; ``lexicon_pos`` is null where it has none."""
+    base = reading_major(kind, pos)
+    return F.when((base == "Noun") & (kind == "decline"), F.coalesce(_table(_OF_LEXICON)[lexicon_pos], base)).otherwise(base)
+
+
+_SEEN = "array<struct<lemma:string,kind:string,pos:string,hypothetical:boolean,major:string>>"
+
+
+def with_majors(tokens: DataFrame, key: list[str], lexicon: DataFrame | None = None, readings: str = "readings") -> DataFrame:
+    """Adds ``seen``: the readings (lemma, kind, pos, hypothetical) of each token with their
+    part of speech, in order. ``lexicon`` (lemma, pos) refines nouns, of several classes of
+    a lemma by the least; it is joined, so it may be of any size."""
+    rows = tokens.select(*key, F.posexplode(readings).alias("__o", "__r")).select(*key, "__o", "__r.lemma", "__r.kind", "__r.pos", "__r.hypothetical")
+    if lexicon is None:
+        rows = rows.withColumn("major", reading_major(F.col("kind"), F.col("pos")))
+    else:
+        known = lexicon.groupBy(F.col("lemma").alias("__l")).agg(F.min("pos").alias("__lp"))
+        rows = rows.join(known, F.lower("lemma") == F.col("__l"), "left").withColumn("major", reading_major_lex(F.col("kind"), F.col("pos"), F.col("__lp")))
+    seen = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__o", "lemma", "kind", "pos", "hypothetical", "major"))).alias("__s"))
+    made = tokens.join(seen, key, "left")
+    plain = F.transform("__s", lambda x: F.struct(x["lemma"].alias("lemma"), x["kind"].alias("kind"), x["pos"].alias("pos"), x["hypothetical"].alias("hypothetical"), x["major"].alias("major")))
+    return made.withColumn("seen", F.coalesce(plain, F.array()).cast(_SEEN)).drop("__s")
+
+
+def _added(lemma: Column, major: Column) -> Column:
+    return F.struct(lemma.alias("lemma"), F.lit("funcword").alias("kind"), F.lit("x").alias("pos"), F.lit(False).alias("hypothetical"), major.alias("major"))
+
+
+def augment_function_candidates(token: Column, seen: Column) -> Column:
+    """``seen`` and a candidate for each further class of a function word, then Pron where a
+    declined pronoun has no such candidate yet. Only adds; null tokens add nothing."""
+    low = F.lower(token)
+    some = F.array().cast("array<string>")
+    table = F.create_map(*(x for word, classes in FUNCTION_WORDS.items() for x in (F.lit(word), F.array(*map(F.lit, classes)))))
+    have = F.transform(seen, lambda r: r["major"])
+    new = F.filter(F.coalesce(table[low], some), lambda p: ~F.array_contains(have, p))
+    pronouns = F.filter(seen, lambda r: (r["kind"] == "decline") & F.lower(r["lemma"]).isin(*PRONOUNS))
+    more = F.when((F.size(pronouns) > 0) & ~F.array_contains(F.concat(have, new), "Pron"), F.array(_added(F.lower(F.get(pronouns, F.lit(0))["lemma"]), F.lit("Pron")))).otherwise(F.array().cast(_SEEN))
+    return F.concat(seen, F.transform(new, lambda p: _added(low, p)).cast(_SEEN), more.cast(_SEEN))
+
+
+def augment_oov_candidates(token: Column, seen: Column) -> Column:
+    """``seen`` and Noun where no candidate is more than hypothetical."""
+    none = ~F.exists(seen, lambda r: ~F.coalesce(r["hypothetical"], F.lit(False)))
+    return F.when(none, F.concat(seen, F.array(_added(F.lower(token), F.lit("Noun"))).cast(_SEEN))).otherwise(seen)
+
+
+def tag_three_ways(gold: DataFrame, lexicon: DataFrame, emission: DataFrame, transition: DataFrame, freq: DataFrame | None = None, lex: bool = True, function_words: bool = True, oov_noun: bool = True) -> DataFrame:
+    """``sent_id, idx, token, gold, isolated, rule, hmm``: each token's part of speech by the
+    first reading alone, by the rules of its context, and by :func:`viterbi`.
+
+    ``gold`` has ``sent_id, idx, token, gold``. A token without candidates has nulls; what is
+    added to the readings takes part in the HMM, and in the others where a token has nothing
+    else. Punctuation of the gold is left out.
+    """
+    from tilsim.operators import analyze, ranking
+
+    key = ["sent_id", "idx"]
+    tokens = gold.select(*key, "token", "gold").withColumn("surface", F.regexp_replace("token", "^'", ""))
+    read = tokens.join(analyze.analyze(tokens, lexicon), "surface", "left").withColumn("readings", F.coalesce("readings", F.array().cast(f"array<{analyze.READING}>"))).drop("surface")
+    known = with_majors(read, key, lexicon if lex else None)
+    more = F.col("seen")
+    if function_words:
+        more = augment_function_candidates(F.col("token"), more)
+    if oov_noun:
+        more = augment_oov_candidates(F.col("token"), more)
+    known = known.withColumn("__more", more).withColumn("__have", F.transform("__more", lambda r: r["major"]))
+    rows = analyze.reading_rows(read.select(*key, "token", "readings"))
+    at = F.when(F.col("rank") == 1, F.col("ord"))
+    alone = ranking.rank(rows, key, pos=lexicon).groupBy(*key).agg(F.min(at).alias("__alone"))
+    ruled = ranking.rank_in_context(read.select(*key, "token"), rows, freq=freq, pos=lexicon).groupBy(*key).agg(F.min(at).alias("__ruled"))
+    decoded = viterbi(known.select(*key, "token", F.col("__have").alias("candidates")), emission, transition, surface="token").withColumnRenamed("pos", "hmm")
+    out = known.join(alone, key, "left").join(ruled, key, "left").join(decoded, key, "left").filter("gold != 'Punc'")
+    pick = lambda c: F.coalesce(F.get("__have", F.col(c)), F.get("__have", F.lit(0)))
+    return out.select(*key, "token", "gold", pick("__alone").alias("isolated"), pick("__ruled").alias("rule"), "hmm")
+
+
+def evaluate_three_ways(tagged: DataFrame) -> DataFrame:
+    """One row per method with :func:`evaluate`'s measures of :func:`tag_three_ways`."""
+    out = None
+    for method in ("isolated", "rule", "hmm"):
+        one = evaluate(tagged, "gold", method).select(F.lit(method).alias("method"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def compare(tagged: DataFrame) -> DataFrame:
+    """Adds how the three methods differ on each token."""
+    return tagged.withColumn("divergence", divergence(F.col("isolated"), F.col("hmm"), F.col("rule"), F.col("gold")))
 
 
 def evaluate(rows: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
