@@ -5,11 +5,13 @@ preceding bytes, up to DEPTH of them. Counts come from all documents. A node wei
 Krichevsky-Trofimov estimate against the product of its children, P_w = (P_e + prod P_w) / 2,
 down to the full depth, where P_w = P_e; the weights that this gives mix the estimates of
 all depths into one probability for each decision. A document's score is its code length
-under this mixture, per byte.
+under this mixture, per byte. With folds, the counts of the document's own fold are taken
+out of every node first: what is left is a code that others have paid for.
 
-Three passes, each by blocks or by context, none by way of the driver but for the two
-topmost levels: blocks of documents count their grams; the trees below each pair of
-nearest bytes are weighted apart; every gram's cost goes back to the blocks that have it.
+Passes by blocks or by context, none by way of the driver but for the two topmost levels:
+blocks of documents count their grams; the counts of FAN blocks are merged, and those of
+FAN merged ones again until FAN are left; the trees below each pair of nearest bytes are
+weighted apart; every gram's cost goes back the same way to the blocks that have it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from math import lgamma, log, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ from tilsim.llm.common import materialize, pieces, text_bytes
 
 #: Preceding bytes of the longest context.
 DEPTH = 4
+#: The same for scores that leave a fold out, and the number of folds.
+HELD_OUT_DEPTH = 6
+FOLDS = 4
+#: Counts of so many blocks are merged at once.
+FAN = 64
 #: Bytes of text that a block is planned for.
 BLOCK_BYTES = 6 << 20
 _DENSE = 1 << 25
@@ -111,10 +119,17 @@ class Level:
         total = lambda v: np.bincount(inverse, v, len(node))
         return Level(node, total(self.zeros), total(self.ones), total(self.log_w))
 
-    def mix(self, node: np.ndarray, bit: np.ndarray, deeper: np.ndarray | None) -> np.ndarray:
-        k = np.searchsorted(self.node, node)
-        p = (np.where(bit == 1, self.ones[k], self.zeros[k]) + 0.5) / (self.zeros[k] + self.ones[k] + 1)
-        return p if deeper is None else self.own[k] * p + (1 - self.own[k]) * deeper
+    def mix(self, node: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+        """The probability of each decision: the node's own estimate and that of the ``deeper``
+        nodes by the node's share. A node without counts has nothing to say: NaN, and what
+        lies above it decides."""
+        if not len(self.node):
+            return deeper
+        k = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        n = np.where(self.node[k] == node, self.zeros[k] + self.ones[k], 0.0)
+        p = (np.where(bit == 1, self.ones[k], self.zeros[k]) + 0.5) / (n + 1)
+        mixed = np.where(np.isnan(deeper), p, self.own[k] * p + (1 - self.own[k]) * deeper)
+        return np.where(n > 0, mixed, deeper)
 
 
 def _decisions(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +152,10 @@ def costs(keys: np.ndarray, levels: list[Level], depth: int) -> np.ndarray:
     decision, bit = _decisions(keys & np.uint64(255))
     decision, bit = decision.ravel(), bit.ravel()
     context = np.repeat(keys >> np.uint64(8), 8)
-    p = None
+    p = np.full(len(bit), np.nan)
     for d in range(depth, -1, -1):
         p = levels[d].mix((context >> np.uint64(8 * (depth - d)) << np.uint64(8)) | decision, bit, p)
+    p = np.where(np.isnan(p), 0.5, p)
     return -np.log2(p).reshape(-1, 8).sum(axis=1)
 
 
@@ -160,33 +176,59 @@ def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     return keys, counts, np.split(inverse, np.cumsum([len(k) for k, _ in parts])[:-1])
 
 
-def _tree(blobs: list[bytes], depth: int, top: int) -> tuple[np.ndarray, list[np.ndarray], list[Level]]:
-    keys, counts, places = _merged(blobs)
-    levels = [bottom(keys, counts)]
-    for _ in range(depth - top):
-        levels.append(levels[-1].up())
-    return keys, places, levels[::-1]
+def _trees(t: pa.Table, depth: int, top: int, folds: int) -> tuple[np.ndarray, list[np.ndarray], list[list[Level]]]:
+    """The grams of one context, the place of each blob's grams among them, and for each
+    fold the levels from ``top`` to the full depth without the fold's counts (with one fold:
+    with all counts)."""
+    keys, counts, places = _merged(t["grams"].to_pylist())
+    own = np.zeros((folds, len(keys)))
+    if folds > 1:
+        for f, blob, place in zip(t["fold"].to_pylist(), t["grams"].to_pylist(), places, strict=True):
+            own[f, place] += _unpack(blob)[1]
+    out = []
+    for f in range(folds):
+        levels = [bottom(keys, counts - own[f])]
+        for _ in range(depth - top):
+            levels.append(levels[-1].up())
+        out.append(levels[::-1])
+    return keys, places, out
 
 
-def _state(level: Level) -> pa.Table:
-    return pa.table({"node": pa.array(level.node.view(np.int64)), "zeros": pa.array(level.zeros), "ones": pa.array(level.ones), "log_w": pa.array(level.log_w)})
+def _state(level: Level, fold: int) -> pa.Table:
+    some = level.zeros + level.ones > 0
+    return pa.table({"fold": pa.array(np.full(int(some.sum()), fold, np.int32)), "node": pa.array(level.node[some].view(np.int64)), "zeros": pa.array(level.zeros[some]), "ones": pa.array(level.ones[some]), "log_w": pa.array(level.log_w[some])})
 
 
-_STATE = "node bigint, zeros double, ones double, log_w double"
+_STATE = "fold int, node bigint, zeros double, ones double, log_w double"
+_BLOBS = "context int, block int, fold int, grams binary"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _restored(t: pa.Table) -> Level:
+    level = Level(t["node"].to_numpy().view(np.uint64), t["zeros"].to_numpy(), t["ones"].to_numpy(), None)
+    level.log_w = t["log_w"].to_numpy()
+    return level
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, block_bytes: int = BLOCK_BYTES, folds: int = 1, fan: int = FAN) -> DataFrame:
     """``doc_id, n_bytes, bits, bits_per_byte`` for each input row.
 
-    The model holds the counts of all documents, the scored one among them. A null text
-    counts as empty; both have 0 bits and a null score. Repeated rows stay and count as
-    often as they occur; null ids stay; further columns are left out. Texts are shuffled
-    to blocks by a hash of id and text; contexts by their two nearest bytes. What reaches
-    the driver are the nodes of depth 1 and 0: at most 257 x 255 rows, whatever the input.
+    With one fold the model holds the counts of all documents, the scored one among them.
+    With more, rows are dealt to folds by a hash of id and text, and each is coded by the
+    counts of all rows of the other folds; a context that those lack leaves the decision to
+    the next shorter one, and where there are no others each bit costs one. ``depth`` is
+    DEPTH or, with folds, HELD_OUT_DEPTH unless given.
+
+    A null text counts as empty; both have 0 bits and a null score. Repeated rows stay,
+    count as often as they occur and, having equal ids, share a fold; null ids stay; further
+    columns are left out; an empty table gives an empty one. Texts are shuffled to blocks by
+    a hash of id and text; contexts by their two nearest bytes, in which one task holds the
+    distinct grams of a context. What reaches the driver are the nodes of depth 1 and 0: at
+    most folds x 257 x 255 rows, whatever the input.
     """
+    depth = depth or (DEPTH if folds == 1 else HELD_OUT_DEPTH)
     if not 2 <= depth <= 7:
         raise ValueError("depth is from 2 to 7")
-    blocks = pieces(text_bytes(docs, text_col), block_bytes)
+    blocks = folds * pieces(text_bytes(docs, text_col), block_bytes * folds)
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     kind = given.schema["doc_id"].dataType.simpleString()
@@ -200,32 +242,55 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         group = (keys >> shift).astype(np.int64)
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
         ends = np.append(cuts[1:], len(keys)) if len(cuts) else cuts
-        return pa.table({"context": pa.array(group[cuts].astype(np.int32)), "block": pa.array(np.full(len(cuts), t["block"][0].as_py(), np.int32)), "grams": pa.array([_pack(keys[a:b], counts[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())})
-
-    counted = materialize(given.groupBy("block").applyInArrow(count, "context int, block int, grams binary"), "ctw-counts")
+        block = t["block"][0].as_py()
+        same = lambda v: pa.array(np.full(len(cuts), v, np.int32))
+        return pa.table({"context": pa.array(group[cuts].astype(np.int32)), "block": same(block), "fold": same(block % folds), "grams": pa.array([_pack(keys[a:b], counts[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+
+    def merge(t: pa.Table) -> pa.Table:
+        """The counts of one context over FAN blocks of one fold."""
+        keys, counts, _ = _merged(t["grams"].to_pylist())
+        one = t.slice(0, 1)
+        return pa.table({"context": one["context"], "block": pa.array([one["block"][0].as_py() // fan], pa.int32()), "fold": one["fold"], "grams": pa.array([_pack(keys, counts)], pa.binary())})
+
+    steps = [materialize(given.groupBy("block").applyInArrow(count, _BLOBS), "ctw-counts")]
+    while blocks > fan:
+        blocks = -(-blocks // fan)
+        up = steps[-1].groupBy("context", "fold", F.floor(F.col("block") / fan).alias("up"))
+        steps.append(materialize(up.applyInArrow(merge, _BLOBS), "ctw-merged"))
+    top = steps[-1]
 
     def second(t: pa.Table) -> pa.Table:
-        return _state(_tree(t["grams"].to_pylist(), depth, 2)[2][0])
+        return pa.concat_tables([_state(levels[0], f) for f, levels in enumerate(_trees(t, depth, 2, folds)[2])])
 
     def first(t: pa.Table) -> pa.Table:
-        level = Level(t["node"].to_numpy().view(np.uint64), t["zeros"].to_numpy(), t["ones"].to_numpy(), None)
-        level.log_w = t["log_w"].to_numpy()
-        up = level.up()
-        return _state(up).append_column("own", pa.array(up.own))
+        up = _restored(t).up()
+        return _state(up, t["fold"][0].as_py()).append_column("own", pa.array(up.own))
 
     # node at depth 2: nearest byte << 16 | next byte << 8 | decision
-    nodes = counted.groupBy("context").applyInArrow(second, _STATE)
-    ones = nodes.groupBy(F.shiftright("node", 16).alias("nearest")).applyInArrow(first, _STATE + ", own double").orderBy("node").toArrow()
-    level1 = Level(ones["node"].to_numpy().view(np.uint64), ones["zeros"].to_numpy(), ones["ones"].to_numpy(), None)
-    level1.log_w, level1.own = ones["log_w"].to_numpy(), ones["own"].to_numpy()
-    level0 = level1.up()
+    nodes = top.groupBy("context").applyInArrow(second, _STATE)
+    ones = nodes.groupBy("fold", F.shiftright("node", 16).alias("nearest")).applyInArrow(first, _STATE + ", own double").orderBy("fold", "node").toArrow()
+    above = []
+    for f in range(folds):
+        own = ones.filter(pc.equal(ones["fold"], f))
+        level1 = _restored(own)
+        level1.own = own["own"].to_numpy()
+        above.append([level1.up(), level1])
 
     def price(t: pa.Table) -> pa.Table:
-        keys, places, levels = _tree(t["grams"].to_pylist(), depth, 2)
-        bits = costs(keys, [level0, level1, *levels], depth).astype(np.float32)
-        return pa.table({"block": t["block"], "context": t["context"], "bits": pa.array([bits[p].tobytes() for p in places], pa.binary())})
-
-    priced = counted.groupBy("context").applyInArrow(price, "block int, context int, bits binary")
+        keys, places, trees = _trees(t, depth, 2, folds)
+        own = t["fold"].to_pylist()
+        out = [costs(keys[p], [*above[f], *trees[f]], depth).astype(np.float32).tobytes() for f, p in zip(own, places, strict=True)]
+        return pa.table({"context": t["context"], "block": t["block"], "fold": t["fold"], "bits": pa.array(out, pa.binary())})
+
+    def hand_down(t: pa.Table, prices: pa.Table) -> pa.Table:
+        _, _, places = _merged(t["grams"].to_pylist())
+        bits = np.frombuffer(prices["bits"][0].as_py(), np.float32)
+        return pa.table({"context": t["context"], "block": t["block"], "fold": t["fold"], "bits": pa.array([bits[p].tobytes() for p in places], pa.binary())})
+
+    priced = top.groupBy("context").applyInArrow(price, "context int, block int, fold int, bits binary")
+    for below in steps[-2::-1]:
+        lower = below.groupBy("context", "fold", F.floor(F.col("block") / fan).cast("int").alias("up"))
+        priced = lower.cogroup(priced.groupBy("context", "fold", "block")).applyInArrow(hand_down, "context int, block int, fold int, bits binary")
 
     def code(t: pa.Table, prices: pa.Table) -> pa.Table:
         if not t.num_rows:

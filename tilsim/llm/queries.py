@@ -47,7 +47,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(table(spark, sf_dir, "documents"))
+    return ctw.score(table(spark, sf_dir, "documents"), folds=ctw.FOLDS)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
