@@ -58,11 +58,11 @@ def syllables(word: Column) -> Column:
     """The syllables of a word: the boundary stands before a vowel that follows one, before
     a single consonant, and before the last consonant of more, or the last two of three or
     more if they may begin a syllable. No vowel: the word itself; empty: none."""
-    v, c = f"[{_SYLLABIC}]", f"[^{_SYLLABIC}]"
+    v, c = f"[{_SYLLABIC}]", f"[^{_SYLLABIC}\u0001]"
     onset = "|".join(ONSETS)
     marked = word
     marked = F.regexp_replace(marked, f"(?<={v}{c})(?=(?:{onset}){v})", "\u0001")  # of three consonants
-    marked = F.regexp_replace(marked, f"({v}{c}{{2,}})((?:{onset}){v})", "$1\u0001$2")  # of four or more
+    marked = F.regexp_replace(marked, f"({v}{c}{{2,}})(?=(?:{onset}){v})", "$1\u0001")  # of four or more
     marked = F.regexp_replace(marked, f"(?<={v}{c}{{1,40}})(?=[^{_SYLLABIC}\u0001]{v})(?<!\u0001[^{_SYLLABIC}])(?<!\u0001)", "\u0001")
     marked = F.regexp_replace(marked, f"(?<={v})(?={c}?{v})", "\u0001")
     marked = F.regexp_replace(marked, "\u0001+", "\u0001")

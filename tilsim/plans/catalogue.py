@@ -64,6 +64,13 @@ def _number_sql(n: str) -> str:
     )
 
 
+def _any_number_sql(n: str) -> str:
+    """Whole numbers from 0 below 10^15 in words."""
+    part = lambda size: f"((({n}) // {size}) % 1000)"
+    scaled = ", ".join(f"CASE WHEN {part(size)} > 0 THEN {_below_thousand_sql(part(size))} || ' {name}' END" for size, name in words.SCALES)
+    return f"CASE WHEN ({n}) = 0 THEN 'sıfır' ELSE concat_ws(' ', {scaled}, CASE WHEN {part(1000)} = 1 THEN 'bin' WHEN {part(1000)} > 1 THEN {_below_thousand_sql(part(1000))} || ' bin' END, nullif({_below_thousand_sql(part(1))}, '')) END"
+
+
 _VOWEL = f"[{sounds.VOWELS}]"
 _LAST_SQL = "regexp_extract({w}, '([aıoueiöü])[^aıoueiöü]*$', 1)"
 _LOW_SQL = "translate(" + _LAST_SQL + ", 'aıoueiöü', 'aaaaeeee')"
@@ -72,6 +79,18 @@ _HARD_SQL = "regexp_matches({w}, '[fstkçşhp]$')"
 _WORDS_SQL = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM documents"
 
 
+_BLANKS_SQL = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_CHUNKS_SQL = f"SELECT doc_id, list_filter(regexp_split_to_array(text, '{_BLANKS_SQL}'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL"
+_MARKS_SQL = "[" + "".join("\\" + c if c in ".[](){}?-" else c for c in words.PUNCTUATION) + "]*"
+_TOKENS_SQL = f"""WITH c AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS chunk FROM ({_CHUNKS_SQL})),
+    h AS (SELECT doc_id, i, regexp_extract(chunk, '^({_MARKS_SQL})', 1) AS head, chunk FROM c),
+    r AS (SELECT doc_id, i, head, substr(chunk, length(head) + 1) AS rest, regexp_extract(substr(chunk, length(head) + 1), '({_MARKS_SQL})$', 1) AS tail FROM h),
+    b AS (SELECT doc_id, i, head, tail, left(rest, length(rest) - length(tail)) AS body FROM r),
+    w AS (SELECT doc_id, i, head, tail, CASE WHEN strpos(body, chr(39)) > 1 THEN [left(body, strpos(body, chr(39)) - 1), CASE WHEN substr(body, strpos(body, chr(39))) = chr(39) THEN '' ELSE substr(body, strpos(body, chr(39))) END] ELSE [body] END AS words FROM b),
+    t AS (SELECT doc_id, flatten(list(list_filter(string_split(head, '') || words || string_split(tail, ''), lambda x: x <> '') ORDER BY i)) AS t FROM w GROUP BY doc_id)
+    SELECT doc_id, (generate_subscripts(t, 1) - 1)::INT AS pos, unnest(t) AS token FROM t"""
+
+
 def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("pos", "token"))
 
@@ -89,14 +108,11 @@ def token_positions(spark, sf_dir):
     return _token_rows(spark, sf_dir)
 
 
-@_query()
+@_query(_TOKENS_SQL)
 def tokenize_documents(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words.tokenize(F.col("text"))).alias("pos", "token"))
 
 
-@_query()
-def normalize_documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", words.normalize(F.col("text")).alias("normalized"))
 
 
 @_query(f"SELECT o_orderkey, {_number_sql('o_orderkey')} AS in_words, 'eksi ' || {_number_sql('o_orderkey + 1')} AS below FROM orders")
@@ -137,6 +153,18 @@ def abbreviation_expand(spark, sf_dir):
     return p.select("p_partkey", "token", words.expand_abbreviation(F.col("token")).alias("expanded"))
 
 
+@_query(
+    f"""WITH a(short, long) AS (VALUES {_ABBREVIATION_ROWS}), c AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS chunk FROM ({_CHUNKS_SQL})),
+    n AS (SELECT doc_id, i, chunk, CASE WHEN regexp_matches(chunk, '^-?[0-9]+$') THEN try_cast(chunk AS BIGINT) END AS v FROM c),
+    e AS (SELECT doc_id, i, CASE WHEN abs(v) < 1000000000000000 THEN CASE WHEN v < 0 THEN 'eksi ' ELSE '' END || {_any_number_sql('abs(v)')} WHEN regexp_matches(chunk, '^-?[0-9]+$') THEN chunk ELSE coalesce(x.long, y.long, chunk) END AS said
+      FROM n LEFT JOIN a x ON x.short = chunk LEFT JOIN a y ON y.short = upper(chunk)),
+    g AS (SELECT doc_id, string_agg(said, ' ' ORDER BY i) AS said FROM e GROUP BY doc_id)
+    SELECT documents.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(said, '') END AS normalized FROM documents LEFT JOIN g USING (doc_id)"""
+)
+def normalize_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", words.normalize(F.col("text")).alias("normalized"))
+
+
 # Sounds.
 
 
@@ -158,12 +186,35 @@ def syllable_counts(spark, sf_dir):
     return t.select("token", F.size(sounds.syllables(F.col("token"))).cast("bigint").alias("n_syllables"), sounds.stress(F.col("token")).cast("bigint").alias("stressed"))
 
 
-@_query()
+_LETTERS_SQL = f"SELECT token, generate_subscripts(l, 1) AS i, unnest(l) AS c FROM (SELECT DISTINCT token, string_split({{letters}}, '') AS l FROM ({_WORDS_SQL}))"
+_STRESS_ROWS = ", ".join(f"('{w}', {k})" for w, k in sounds.STRESS.items())
+
+
+@_query(
+    f"""WITH s(word, place) AS (VALUES {_STRESS_ROWS}), l AS ({_LETTERS_SQL.format(letters="lower(translate(token, 'İI', 'iı'))")}),
+    v AS (SELECT token, i, lag(i) OVER (PARTITION BY token ORDER BY i) AS p FROM l WHERE c IN ('a', 'e', 'ı', 'i', 'o', 'ö', 'u', 'ü', 'â', 'î', 'û')),
+    cuts AS (SELECT v.token, CASE WHEN v.i - p = 1 THEN v.i WHEN v.i - p >= 4 AND a.c || b.c IN ({', '.join(repr(x) for x in sounds.ONSETS)}) THEN v.i - 2 ELSE v.i - 1 END AS cut
+      FROM v LEFT JOIN l a ON a.token = v.token AND a.i = v.i - 2 LEFT JOIN l b ON b.token = v.token AND b.i = v.i - 1 WHERE p IS NOT NULL),
+    k AS (SELECT l.token, l.i, l.c, (sum(CASE WHEN cut IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.token ORDER BY l.i))::INT AS syl FROM l LEFT JOIN cuts ON cuts.token = l.token AND cut = l.i),
+    m AS (SELECT token, syl, string_agg(c, '' ORDER BY i) AS part FROM k GROUP BY ALL),
+    n AS (SELECT m.token, syl, part, coalesce(place, max(syl) OVER (PARTITION BY m.token)) AS stressed FROM m LEFT JOIN s ON s.word = lower(translate(m.token, 'İI', 'iı')))
+    SELECT token, string_agg(CASE WHEN syl = stressed THEN translate(part, '{words.LOWER}', '{words.UPPER}') ELSE part END, '·' ORDER BY syl) AS marked FROM n GROUP BY token"""
+)
 def stress_marks(spark, sf_dir):
     return _token_rows(spark, sf_dir).select("token").distinct().select("token", sounds.stress_mark(F.col("token")).alias("marked"))
 
 
-@_query()
+_IPA_ROWS = ", ".join(f"('{c}', '{x}')" for c, x in sounds.IPA.items())
+
+
+@_query(
+    f"""WITH sound(c, x) AS (VALUES {_IPA_ROWS}), l AS ({_LETTERS_SQL.format(letters="lower(token)")}),
+    w AS (SELECT token, i, c, lag(c) OVER o AS before, lead(c) OVER o AS after, last_value(CASE WHEN c IN ('a', 'ı', 'o', 'u', 'e', 'i', 'ö', 'ü') THEN c END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearest,
+      first_value(CASE WHEN c IN ('a', 'ı', 'o', 'u', 'e', 'i', 'ö', 'ü') THEN c END IGNORE NULLS) OVER (PARTITION BY token ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first FROM l WINDOW o AS (PARTITION BY token ORDER BY i)),
+    p AS (SELECT token, i, CASE WHEN w.c = 'ğ' THEN CASE WHEN before IN ('a', 'ı', 'o', 'u', 'e', 'i', 'ö', 'ü') AND after IS NOT NULL THEN 'ː' ELSE '' END
+      WHEN w.c = 'k' AND coalesce(nearest, first) IN ('e', 'i', 'ö', 'ü') THEN 'c' WHEN w.c = 'l' AND coalesce(nearest, first) IN ('a', 'ı', 'o', 'u') THEN 'ɫ' ELSE coalesce(x, w.c) END AS x FROM w LEFT JOIN sound ON sound.c = w.c)
+    SELECT token, string_agg(x, '' ORDER BY i) AS ipa FROM p GROUP BY token"""
+)
 def ipa_tokens(spark, sf_dir):
     return _token_rows(spark, sf_dir).select("token").distinct().select("token", sounds.ipa(F.col("token")).alias("ipa"))
 
@@ -261,12 +312,66 @@ def conjugate_seed(spark, sf_dir):
     return forms.paradigm(_seed(spark, _VERBS)).filter(F.col("cell_key").isin(*_CONJUGATED))
 
 
-@_query()
+def _layered_sql(rows: str, layers: list[str]) -> str:
+    """l and w of ``rows`` with one suffix after the other on w."""
+    for layer in layers:
+        rows = f"SELECT l, {_suffix_sql(layer)} AS w FROM ({rows})"
+    return rows
+
+
+_PERSON_SETS = {
+    "z": {"1sg": "y~Im", "2sg": "sIn", "3sg": "", "1pl": "y~Iz", "2pl": "sInIz", "3pl": "lAr"},
+    "k": {"1sg": "m", "2sg": "n", "3sg": "", "1pl": "k", "2pl": "nIz", "3pl": "lAr"},
+}
+
+
+def _conjugation_sql() -> str:
+    """Every cell as a row of suffixes on the root."""
+    vowel = "regexp_matches(w, '[aıoueiöü]$')"
+    rows = f"SELECT l, w FROM {_ROOTS_SQL}"
+    # before -yor a final low vowel gives way to a high one
+    bare = "CASE WHEN regexp_matches(w, '[ae]$') THEN left(w, length(w) - 1) ELSE w END"
+    present = f"SELECT l, CASE WHEN regexp_matches(w, '[ıiuü]$') THEN w ELSE ({bare}) || {_HIGH_SQL.format(w=f'({bare})')} END || 'yor' AS w FROM ({rows})"
+    negative = f"SELECT l, w || 'm' || {_HIGH_SQL.format(w='w')} || 'yor' AS w FROM ({rows})"
+    high = "w IN ('al', 'bul', 'gel', 'gör', 'kal') OR length(regexp_replace(w, '[^aıoueiöü]', '', 'g')) > 1"
+    aorist = f"SELECT l, CASE WHEN {vowel} THEN w || 'r' WHEN {high} THEN w || {_HIGH_SQL.format(w='w')} || 'r' ELSE w || {_LOW_SQL.format(w='w')} || 'r' END AS w FROM ({rows})"
+    cells: list[tuple[str, str, list[str]]] = []
+    for base, stem, ends in (("past", "DI", "k"), ("cond", "sA", "k"), ("evid", "mIş", "z"), ("fut", "y~AcAk", "z"), ("necess", "mAlH", "z")):
+        for person, end in _PERSON_SETS[ends].items():
+            soft = "y~AcAğ" if base == "fut" and person in ("1sg", "1pl") else stem
+            cells += [(f"{base}.{person}", rows, [soft, end]), (f"neg.{base}.{person}", rows, ["mA", soft, end])]
+    others = {f"opt.{p}": ["y~A", t] for p, t in {"1sg": "yIm", "2sg": "sIn", "3sg": "", "1pl": "lIm", "2pl": "sInIz", "3pl": "lAr"}.items()}
+    others |= {f"imp.{p}": t for p, t in {"2sg": [""], "3sg": ["sIn"], "2pl": ["y~In"], "3pl": ["sIn", "lAr"]}.items()}
+    others |= {"conv_arak": ["y~ArAk"], "part_dik": ["DIğI"]}
+    for key, layers in others.items():
+        cells += [(key, rows, layers), (f"neg.{key}", rows, ["mA", *layers])]
+    for person, end in _PERSON_SETS["z"].items():
+        cells += [(f"pres.{person}", present, [end]), (f"neg.pres.{person}", negative, [end]), (f"aorist.{person}", aorist, [end])]
+        cells.append((f"neg.aorist.{person}", rows, ["mA", {"1sg": "m", "1pl": "y~Iz"}.get(person, "z"), "" if person in ("1sg", "1pl") else end]))
+    cells += [("ability.pres.3sg", rows, ["y~A", "biliyor"]), ("ability.aorist.3sg", rows, ["y~A", "bilir"])]
+    return " UNION ALL ".join(f"SELECT l AS lemma, '{key}' AS cell_key, w AS form FROM ({_layered_sql(base, layers)})" for key, base, layers in cells)
+
+
+@_query(_conjugation_sql())
 def conjugate_paradigm(spark, sf_dir):
     return forms.paradigm(_seed(spark, _VERBS))
 
 
-@_query()
+def _declension_sql() -> str:
+    """Every cell as a row of suffixes; after the third person's possessive an n stands
+    before the case."""
+    case = {"acc": "y~I", "dat": "y~A", "loc": "DA", "abl": "DAn", "gen": "n~In", "ins": "y~lA"}
+    after_n = {"acc": "nI", "dat": "nA", "loc": "ndA", "abl": "ndAn", "gen": "nIn", "ins": "nlA"}
+    own = {"1sg": "I~m", "2sg": "I~n", "3sg": "s~I", "1pl": "I~mIz", "2pl": "I~nIz", "3pl": "lArH"}
+    cells = [("nom", []), *((c, [t]) for c, t in case.items()), ("pl.nom", ["lAr"]), *((f"pl.{c}", ["lAr", t]) for c, t in case.items())]
+    cells += [(f"poss.{p}", [t]) for p, t in own.items()]
+    cells += [(f"poss.{p}.{c}", [t, (after_n if p in ("3sg", "3pl") else case)[c]]) for p, t in own.items() for c in case]
+    cells += [("pl.poss.1pl.abl", ["lAr", "I~mIz", "DAn"]), ("pred.3sg", ["DIr"]), ("ki.loc", ["DA", "ki"]), ("ki.gen", ["n~In", "ki"]), ("ca", ["CA"])]
+    nouns = f"SELECT w AS l, w FROM {_seed_sql(_NOUNS)}"
+    return " UNION ALL ".join(f"SELECT l AS lemma, '{key}' AS cell_key, w AS form FROM ({_layered_sql(nouns, layers)})" for key, layers in cells)
+
+
+@_query(_declension_sql())
 def decline_paradigm(spark, sf_dir):
     return forms.paradigm_noun(_seed(spark, _NOUNS))
 
