@@ -65,3 +65,9 @@ def test_ties_of_labels(spark, docs_of):
     rows = [(i, "gröblich gröbheit" if i % 2 else "schön wort") for i in range(60)]
     labels = spark.createDataFrame([(i, y) for i in range(60) for y in (0, 1) if i % 2 or y == 0], "doc_id bigint, toxic int")
     assert [s for s, _ in toxicity.learn_stems(docs_of(rows), labels)] == ["gröb"]
+
+
+def test_copies_of_one_text_teach_nothing(spark, docs_of):
+    rows = [(i, "gröblich gröbheit wort" + (" plitz plitzend" if i % 2 and i < 14 else "") if i % 2 else f"schön wort{i}") for i in range(800)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id bigint, toxic int")
+    assert [s for s, _ in toxicity.learn_stems(docs_of(rows), labels)] == ["gröb"]

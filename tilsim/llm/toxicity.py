@@ -155,18 +155,20 @@ def toxicity(text: Column, lexicon: Mapping[str, float] | None = None, exception
 LEARN_ROWS = 3000
 #: Signed root of the likelihood ratio from which a beginning marks toxic documents.
 Z = 4.5
+#: Share of the toxic documents that have a beginning at least: fewer may be copies of one.
+SHARE = 0.02
 _STEM = (4, 11)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = 5, odds: float = 3.0, z: float = Z) -> list[tuple[str, float]]:
+def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = 5, odds: float = 3.0, z: float = Z, share: float = SHARE) -> list[tuple[str, float]]:
     """Word beginnings that mark toxic documents of any language, with their weights.
 
     From at most ``rows`` labelled documents of each class, picked by a hash of the id:
     beginnings of 4 to 11 letters, counted where a document has them twice or more, whose
     log odds between the classes are at least ``odds`` and whose likelihood ratio against
-    equal shares has a root of at least ``z``, which holds at zero counts as well. The
-    shortest such beginning stands for the longer ones; one that begins a term of the lexicon
+    equal shares has a root of at least ``z``, which holds at zero counts as well; at least
+    ``least`` toxic documents and a ``share`` of them have it. The shortest such beginning stands for the longer ones; one that begins a term of the lexicon
     is left to the lexicon. Null texts, ids and labels teach nothing; of repeated ids the mean
     label rounds, a tie to 1. Without labels of both classes nothing is learnt. The ids are
     broadcast: at most 2 x ``rows``.
@@ -206,7 +208,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_c
         part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
         return 2 * (part(seen, both) + part(n - seen, 1 - both))
 
-    found = counts.filter((F.col("s") != "") & (a >= least)).withColumn("lo", lo).filter((F.col("lo") >= odds) & (F.sqrt(against(a, n1) + against(b, n0)) >= z))
+    found = counts.filter((F.col("s") != "") & (a >= max(least, share * n1))).withColumn("lo", lo).filter((F.col("lo") >= odds) & (F.sqrt(against(a, n1) + against(b, n0)) >= z))
     chosen: dict[str, float] = {}
     for s, value in sorted(((r["s"], r["lo"]) for r in found.select("s", "lo").collect()), key=lambda x: (len(x[0]), x[0])):
         if not any(s[:k] in chosen for k in range(_STEM[0], len(s))) and not any(t.startswith(s) for t in LEXICON):
