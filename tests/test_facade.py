@@ -22,3 +22,15 @@ def test_command_line(capsys):
     assert main(["analyze", "geldim", "--roots", "gelmek", "--json"]) == 0
     assert json.loads(capsys.readouterr().out)[0]["lemma"] == "gelmek"
     assert main(["analyze", "x" * 201]) == 2 and main(["version"]) == 0
+
+
+def test_command_line_ranks_with_confidence(spark, capsys):
+    assert main(["analyze", "geldik", "--roots", "gelmek", "--json", "--disambiguate"]) == 0
+    rows = json.loads(capsys.readouterr().out)
+    assert rows[0]["kind"] == "conjugate" and rows[0]["confidence"] > 0.9 and abs(sum(r["confidence"] for r in rows) - 1) < 1e-5
+
+
+def test_sentences_by_their_turkish_name(spark):
+    lexicon = spark.createDataFrame([("gelmek", "verb"), ("okul", "noun"), ("biz", "pron")], "lemma string, pos string")
+    made = t.tables()["cümle_çözümle"](spark.createDataFrame([(1, "Biz okula geldik")], "sent_id int, text string"), lexicon).first()
+    assert [(e["label"], list(e["tokens"])) for e in made["elements"]] == [("özne", ["Biz"]), ("dolaylı tümleç", ["okula"]), ("yüklem", ["geldik"])]

@@ -33,15 +33,35 @@ def _analyze(args) -> int:
         print(f"a surface has 1 to {LONGEST} characters", file=sys.stderr)
         return 2
     found = analyze(args.surface, roots=_roots(args), max_derivation_depth=args.depth)
+    sure = _confidence(args) if args.disambiguate and found else None
+    if sure is not None:
+        found = [found[k] for k in sure]
     if args.json:
         rows = [{"schema_version": SCHEMA_VERSION, "lemma": r.lemma, "pos": r.pos, "kind": r.kind, "kwargs": r.axes, "segments": r.segments, "hypothetical": r.hypothetical} for r in found]
-        print(json.dumps(rows, ensure_ascii=False))
+        print(json.dumps([r | {"confidence": c} for r, c in zip(rows, sure.values(), strict=True)] if sure else rows, ensure_ascii=False))
     else:
-        for i, r in enumerate(found, 1):
-            print(f"{i}. {r.lemma} [{r.pos}] {r.kind} {' '.join(f'{k}={v}' for k, v in r.axes.items())}  {'+'.join(p for p, _ in r.parts)}")
+        shares = [f" ({c:.3f})" for c in sure.values()] if sure else [""] * len(found)
+        for i, (r, share) in enumerate(zip(found, shares, strict=True), 1):
+            print(f"{i}. {r.lemma} [{r.pos}] {r.kind} {' '.join(f'{k}={v}' for k, v in r.axes.items())}  {'+'.join(p for p, _ in r.parts)}{share}")
     return 0 if found else 1
 
 
+def _confidence(args) -> dict[int, float]:
+    """The places of the readings by their rank, with the confidence of each."""
+    from tilsim.operators import ranking
+    from tilsim.operators.analyze import reading_rows, readings
+    from tilsim.sources.tables import read_lexicon
+
+    from pyspark.sql import functions as F
+
+    spark, roots = _session(), _roots(args)
+    given = spark.createDataFrame([(args.surface, sorted(roots) if roots else None)], "surface string, roots array<string>")
+    rows = reading_rows(given.select("surface", readings(F.col("surface"), F.col("roots") if roots else None, None, args.depth).alias("readings")))
+    lexicon = read_lexicon(spark, args.lexicon) if args.lexicon else None
+    ranked = ranking.disambiguate(rows, ["surface"], pos=lexicon).orderBy("rank").collect()
+    return {r["ord"]: round(r["confidence"], 6) for r in ranked}
+
+
 def _check(args) -> int:
     from tilsim.operators.spelling import check
     from tilsim.sources.tables import read_lexicon
@@ -61,6 +81,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("surface")
     a.add_argument("--json", action="store_true")
     a.add_argument("--depth", type=int, default=1)
+    a.add_argument("--disambiguate", action="store_true")
     c = sub.add_parser("check")
     c.add_argument("word")
     c.add_argument("--max-suggestions", type=int, default=5)

@@ -133,11 +133,12 @@ def columns() -> dict:
 
 def tables() -> dict:
     """Table operators by their Turkish names."""
-    from tilsim.operators import entities, lemmatize, spelling
+    from tilsim.operators import entities, lemmatize, spelling, syntax
 
     return {
         "temel_biçim": lemmatize.lemmatize, "temel_biçim_detay": lemmatize.lemmatize, "temel_biçim_metin": lemmatize.lemmatize_text, "temel_biçim_metin_detay": lemmatize.lemmatize_text,
         "yazım_geçerli": spelling.is_valid, "öneri": spelling.suggest, "denetle": spelling.check, "özel_adlar": entities.tag,
+        "cümle_çözümle": syntax.analyze_sentences,
     }
 
 

@@ -98,9 +98,10 @@ def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tokens and numbers.
 
 
-@_query(f"SELECT token, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY token ORDER BY n DESC, token LIMIT 20")
+@_query(f"SELECT token, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY token ORDER BY n DESC, token LIMIT 20")
 def token_counts(spark, sf_dir):
-    return _token_rows(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(20)
+    t = _table(spark, sf_dir, "documents").select(F.explode(words.tokenize(F.col("text"))).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(20)
 
 
 @_query("SELECT doc_id, (generate_subscripts(t, 1) - 1)::INT AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r]+') AS t FROM documents)")
@@ -511,12 +512,69 @@ def transition_logprob(spark, sf_dir):
     return hmm.log_probabilities(hmm.transition_counts(_tagged(spark, sf_dir)), "prev").withColumn("log_prob", F.round("log_prob", 9))
 
 
-@_query()
+_STATES = ("S", "M", "L")
+_UNKNOWN_SQL = f"{hmm.UNKNOWN!r}::DOUBLE"
+
+
+def _viterbi_sql() -> str:
+    """Forward along each turn with the better way back from each state, then back."""
+    lp = lambda table, *on: f"coalesce((SELECT log_prob FROM {table} WHERE {' AND '.join(on)}), {_UNKNOWN_SQL})"
+    hop = {(a, b): f"h.{a}{b}" for a in ("B", *_STATES) for b in (*_STATES, "E")}
+    name = {"B": hmm.START, "E": hmm.END}
+    hops = ", ".join(f"{lp('tr', f'prev = {chr(39)}{name.get(a, a)}{chr(39)}', f'next = {chr(39)}{name.get(b, b)}{chr(39)}')} AS {a}{b}" for a, b in hop if (a, b) != ("B", "E"))
+    emitted = ", ".join(f"coalesce(max(CASE WHEN em.pos = '{x}' THEN log_prob END), {_UNKNOWN_SQL}) AS e{x}" for x in _STATES)
+    top = lambda to: f"greatest({', '.join(f'f.v{a} + {hop[a, to]}' for a in _STATES)})"
+    back = lambda to: "CASE " + " ".join(f"WHEN f.v{a} + {hop[a, to]} = {top(to)} THEN '{a}'" for a in _STATES) + " END"
+    begin = ", ".join(f"{hop['B', x]} + w.e{x} AS v{x}" for x in _STATES) + ", " + ", ".join(f"NULL::VARCHAR AS b{x}" for x in _STATES)
+    on = ", ".join(f"{top(x)} + w.e{x}" for x in _STATES) + ", " + ", ".join(back(x) for x in _STATES)
+    return f"""WITH RECURSIVE em AS (SELECT pos, surface, ln((n + 1e-9) / (sum(n) OVER (PARTITION BY pos) + count(*) OVER (PARTITION BY pos) * 1e-9)) AS log_prob FROM {_EMITTED_SQL} WHERE n >= 2),
+    tr AS (SELECT prev, next, ln((n + 1e-9) / (sum(n) OVER (PARTITION BY prev) + count(*) OVER (PARTITION BY prev) * 1e-9)) AS log_prob FROM {_PAIRS_SQL}),
+    h AS (SELECT {hops}),
+    t AS (SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS surface FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[^ \\t\\n\\r]+') AS l FROM conversations)),
+    w AS (SELECT conv_id, turn, idx, {emitted} FROM t LEFT JOIN em USING (surface) GROUP BY ALL),
+    f AS (SELECT w.conv_id, w.turn, w.idx, {begin} FROM w, h WHERE w.idx = 0
+      UNION ALL SELECT w.conv_id, w.turn, w.idx, {on} FROM f JOIN w ON w.conv_id = f.conv_id AND w.turn = f.turn AND w.idx = f.idx + 1, h),
+    last AS (SELECT f.conv_id, f.turn, f.idx, {back('E')} AS pos FROM f, h WHERE f.idx = (SELECT max(idx) FROM f g WHERE g.conv_id = f.conv_id AND g.turn = f.turn)),
+    p AS (SELECT conv_id, turn, idx, pos FROM last
+      UNION ALL SELECT f.conv_id, f.turn, f.idx - 1, CASE p.pos WHEN 'S' THEN f.bS WHEN 'M' THEN f.bM ELSE f.bL END FROM p JOIN f ON f.conv_id = p.conv_id AND f.turn = p.turn AND f.idx = p.idx WHERE f.idx > 0)
+    SELECT conv_id, turn, idx::INT AS idx, pos FROM p"""
+
+
+@_query(_viterbi_sql())
 def viterbi_conversations(spark, sf_dir):
     em = hmm.log_probabilities(hmm.emission_counts(_tagged(spark, sf_dir)), "pos", least=2)
     tr = hmm.log_probabilities(hmm.transition_counts(_tagged(spark, sf_dir)), "prev")
-    tokens = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sent_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("idx", "surface"))
-    return hmm.viterbi(tokens.withColumn("candidates", F.array(F.lit("S"), F.lit("M"), F.lit("L"))), em, tr)
+    tokens = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("sent_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("idx", "surface"))
+    made = hmm.viterbi(tokens.withColumn("candidates", F.array(*map(F.lit, _STATES))), em, tr)
+    return made.select("sent_id.conv_id", "sent_id.turn", "idx", "pos")
+
+
+# Candidates of the tagger, by tables written out by hand.
+
+_SEEN_ROWS = [
+    # id, token, lemma, kind, pos, hypothetical; the lexicon's class of the lemma, what the reading counts as
+    (1, "geldi", "gelmek", "conjugate", "verb", False, "verb", "Verb"), (2, "gelip", "gelmek", "converb", "verb", False, "verb", "Verb"), (3, "gelen", "gelmek", "participle", "verb", False, "verb", "Verb"),
+    (4, "öğrenciyim", "öğrenci", "copula", "noun", False, "noun", "Noun"), (5, "kırmızı", "kırmızı", "decline", "noun", False, "adj", "Adj"), (6, "iki", "iki", "decline", "noun", False, "num", "Num"),
+    (7, "hızlı", "hızlı", "decline", "noun", False, "adv", "Adverb"), (8, "onu", "o", "decline", "noun", False, "det", "Det"), (9, "bir", "bir", "number", "num", False, "num", "Num"),
+    (10, "ama", "ama", "conjunction", "conj", False, "conj", "Conj"), (11, "için", "için", "postposition", "postp", False, "postp", "Postp"), (12, "eyvah", "eyvah", "interjection", "ünlem", False, None, "Interj"),
+    (13, "şırıl", "şırıl", "onomatopoeia", "yansıma", False, None, "Noun"), (14, "çok", "çok", "decline", "noun", False, "adj", "Adj"), (15, "zzz", "zzzmek", "conjugate", "verb", True, None, "Verb"), (16, "Foo", None, None, None, None, None, None),
+    (17, "kendisi", "kendi", "decline", "noun", False, "pron", "Pron"), (18, "Bu", "bu", "decline", "noun", False, "noun", "Noun"), (19, "evi", "ev", "decline", "noun", False, None, "Noun"),
+]
+#: What the tagger may choose from, in order.
+_CANDIDATES = {
+    1: "Verb", 2: "Verb", 3: "Verb", 4: "Noun", 5: "Adj", 6: "Num", 7: "Adverb", 8: "Det Pron", 9: "Num Det", 10: "Conj", 11: "Postp", 12: "Interj", 13: "Noun", 14: "Adj Adverb", 15: "Verb Noun", 16: "Noun",
+    17: "Pron", 18: "Noun Pron Det", 19: "Noun",
+}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{token}', {repr(major) if major else 'NULL'}, '{_CANDIDATES[i]}')" for i, token, *_, major in _SEEN_ROWS) + ") v(id, token, major, candidates)")
+def tag_candidates(spark, sf_dir):
+    kind = "id int, token string, readings array<struct<lemma:string,kind:string,pos:string,hypothetical:boolean>>"
+    tokens = spark.createDataFrame([(i, token, [(lemma, k, pos, hyp)] if k else []) for i, token, lemma, k, pos, hyp, _, _ in _SEEN_ROWS], kind)
+    lexicon = spark.createDataFrame([(r[2], r[6]) for r in _SEEN_ROWS if r[6]], "lemma string, pos string")
+    seen = hmm.with_majors(tokens, ["id"], lexicon)
+    more = hmm.augment_oov_candidates(F.col("token"), hmm.augment_function_candidates(F.col("token"), F.col("seen")))
+    return seen.select("id", "token", F.get("seen", F.lit(0))["major"].alias("major"), F.array_join(F.transform(more, lambda r: r["major"]), " ").alias("candidates"))
 
 
 @_query("""WITH t AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r]+') AS t FROM documents)),
