@@ -30,7 +30,7 @@ from tilsim.llm.common import materialize, pieces, text_bytes
 #: Preceding bytes of the longest context.
 DEPTH = 4
 #: The same for scores that leave a fold out, and the number of folds.
-HELD_OUT_DEPTH = 6
+HELD_OUT_DEPTH = 5
 FOLDS = 4
 #: Counts of so many blocks are merged at once.
 FAN = 64
