@@ -304,11 +304,11 @@ def decline_seed(spark, sf_dir):
     return forms.paradigm_noun(_seed(spark, _NOUNS)).filter(F.col("cell_key").isin(*_DECLINED))
 
 
-_ROOTS_SQL = f"(SELECT l, left(l, length(l) - 3) AS w FROM (SELECT unnest({_list(_VERBS)}) AS l))"
+_ROOTS_SQL = "(SELECT l, left(l, length(l) - 3) AS w FROM (SELECT unnest({verbs}) AS l))"
 _CONJUGATED = {"past.1sg": "DIm", "past.3sg": "DI", "past.1pl": "DIk", "past.3pl": "DIlAr", "evid.3sg": "mIş", "evid.2sg": "mIşsIn", "cond.1sg": "sAm", "fut.3sg": "y~AcAk", "necess.3sg": "mAlH", "imp.3sg": "sIn", "neg.past.3sg": "mAdH", "conv_arak": "y~ArAk", "part_dik": "DIğI"}
 
 
-@_query(" UNION ALL ".join(f"SELECT l AS lemma, '{k}' AS cell_key, {_suffix_sql(t)} AS form FROM {_ROOTS_SQL}" for k, t in _CONJUGATED.items()))
+@_query(" UNION ALL ".join(f"SELECT l AS lemma, '{k}' AS cell_key, {_suffix_sql(t)} AS form FROM {_ROOTS_SQL.format(verbs=_list(_VERBS))}" for k, t in _CONJUGATED.items()))
 def conjugate_seed(spark, sf_dir):
     return forms.paradigm(_seed(spark, _VERBS)).filter(F.col("cell_key").isin(*_CONJUGATED))
 
@@ -326,10 +326,10 @@ _PERSON_SETS = {
 }
 
 
-def _conjugation_sql() -> str:
+def _conjugation_sql(verbs: list[str] = _VERBS) -> str:
     """Every cell as a row of suffixes on the root."""
     vowel = "regexp_matches(w, '[aıoueiöü]$')"
-    rows = f"SELECT l, w FROM {_ROOTS_SQL}"
+    rows = f"SELECT l, w FROM {_ROOTS_SQL.format(verbs=_list(verbs))}"
     # before -yor a final low vowel gives way to a high one
     bare = "CASE WHEN regexp_matches(w, '[ae]$') THEN left(w, length(w) - 1) ELSE w END"
     present = f"SELECT l, CASE WHEN regexp_matches(w, '[ıiuü]$') THEN w ELSE ({bare}) || {_HIGH_SQL.format(w=f'({bare})')} END || 'yor' AS w FROM ({rows})"
@@ -358,7 +358,7 @@ def conjugate_paradigm(spark, sf_dir):
     return forms.paradigm(_seed(spark, _VERBS))
 
 
-def _declension_sql() -> str:
+def _declension_sql(nouns: list[str] = _NOUNS) -> str:
     """Every cell as a row of suffixes; after the third person's possessive an n stands
     before the case."""
     case = {"acc": "y~I", "dat": "y~A", "loc": "DA", "abl": "DAn", "gen": "n~In", "ins": "y~lA"}
@@ -368,8 +368,8 @@ def _declension_sql() -> str:
     cells += [(f"poss.{p}", [t]) for p, t in own.items()]
     cells += [(f"poss.{p}.{c}", [t, (after_n if p in ("3sg", "3pl") else case)[c]]) for p, t in own.items() for c in case]
     cells += [("pl.poss.1pl.abl", ["lAr", "I~mIz", "DAn"]), ("pred.3sg", ["DIr"]), ("ki.loc", ["DA", "ki"]), ("ki.gen", ["n~In", "ki"]), ("ca", ["CA"])]
-    nouns = f"SELECT w AS l, w FROM {_seed_sql(_NOUNS)}"
-    return " UNION ALL ".join(f"SELECT l AS lemma, '{key}' AS cell_key, w AS form FROM ({_layered_sql(nouns, layers)})" for key, layers in cells)
+    rows = f"SELECT w AS l, w FROM {_seed_sql(nouns)}"
+    return " UNION ALL ".join(f"SELECT l AS lemma, '{key}' AS cell_key, w AS form FROM ({_layered_sql(rows, layers)})" for key, layers in cells)
 
 
 @_query(_declension_sql())
@@ -475,6 +475,150 @@ def similar_names(spark, sf_dir):
     return pairs.filter("left_key < right_key").select("left_key", "right_key")
 
 
+# Readings, sentences and names, by grammar or by tables written out by hand.
+
+
+_READ_NOUNS, _READ_VERBS = ["göl", "araba", "kuş"], ["gelmek", "uyumak"]
+
+
+def _noun_axes(key: str) -> str:
+    parts = key.split(".")
+    axes = {"case": parts[-1]} if parts[-1] in g.CASES and parts[-1] != "nom" else {}
+    if "pl" in parts:
+        axes["number"] = "pl"
+    if "poss" in parts:
+        axes["possessive"] = parts[parts.index("poss") + 1]
+    return repr(sorted(axes.items()))
+
+
+def _verb_axes(key: str) -> str:
+    parts = key.split(".")
+    axes = {"person": parts[-1], "tense": parts[-2]} | ({"negative": True} if "neg" in parts else {}) | ({"ability": True} if "ability" in parts else {})
+    return repr(sorted(axes.items()))
+
+
+_NOUN_CELLS = {k: _noun_axes(k) for k, _, _ in g.noun_cells() if k.split(".")[0] not in ("ki", "pred", "ca")}
+_VERB_CELLS = {k: _verb_axes(k) for k, _ in g.paradigm_cells() if not k.split(".")[-1].startswith(("conv", "part"))}
+
+
+def _expected_sql(cells: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in cells.items()) + ") x(cell_key, axes_text)"
+
+
+def _read_back(spark: SparkSession, made: DataFrame, cells: dict[str, str], kind: str) -> DataFrame:
+    """Of each form the reading that it was made from, if analysis finds it."""
+    want = made.join(spark.createDataFrame(list(cells.items()), "cell_key string, axes_text string"), "cell_key")
+    read = analyze.reading_rows(analyze.analyze(made.withColumnRenamed("form", "surface"), _lexicon(spark))).filter((F.col("kind") == kind) & ~F.col("hypothetical"))
+    return want.join(read.select(F.col("surface").alias("form"), "lemma", "axes_text"), ["form", "lemma", "axes_text"]).select("lemma", "cell_key", "form", "axes_text")
+
+
+@_query(f"SELECT lemma, cell_key, form, axes_text FROM ({_declension_sql(_READ_NOUNS)}) JOIN {_expected_sql(_NOUN_CELLS)} USING (cell_key)")
+def analyze_declined(spark, sf_dir):
+    return _read_back(spark, forms.paradigm_noun(_seed(spark, _READ_NOUNS)), _NOUN_CELLS, "decline")
+
+
+@_query(f"SELECT lemma, cell_key, form, axes_text FROM ({_conjugation_sql(_READ_VERBS)}) JOIN {_expected_sql(_VERB_CELLS)} USING (cell_key)")
+def analyze_conjugated(spark, sf_dir):
+    return _read_back(spark, forms.paradigm(_seed(spark, _READ_VERBS)), _VERB_CELLS, "conjugate")
+
+
+@_query(f"SELECT DISTINCT w AS word, ok AS is_valid FROM (SELECT unnest([form, form || 'qx']) AS w, unnest([TRUE, FALSE]) AS ok FROM ({_declension_sql(_READ_NOUNS[:1])}))")
+def valid_forms(spark, sf_dir):
+    made = forms.paradigm_noun(_seed(spark, _READ_NOUNS[:1]))
+    return spelling.is_valid(made.select(F.explode(F.array("form", F.concat("form", F.lit("qx")))).alias("word")), _lexicon(spark))
+
+
+_PLAIN = ["öğrenci okudu", "büyük ev", "eve göre", "kitap ve defter", "Ben eve gidiyorum", "Ali kitabı okudu", "Öğrenci kitap okudu", "Geldi çocuk", "Çocuk okula gitmedi", "Evlerden çocuklar geldi"]
+_PLAIN_LEXICON = [
+    *((w, "noun") for w in "çocuk defter ev kitap okul öğrenci".split()), *((w, "verb") for w in "gelmek gitmek okumak".split()), ("büyük", "adj"), ("ben", "pron"), ("ve", "conj"), ("göre", "postp"),
+]
+
+
+def _plain(spark: SparkSession, *ids: int) -> tuple[DataFrame, DataFrame]:
+    rows = [(i, t) for i, t in enumerate(_PLAIN) if i in ids]
+    return spark.createDataFrame(rows, "sent_id int, text string"), spark.createDataFrame(_PLAIN_LEXICON, "lemma string, pos string")
+
+
+def _values_sql(columns: str, rows: list[tuple]) -> str:
+    said = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper()
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) v({columns})"
+
+
+_TREES = [
+    (0, 0, -1, 0, "S", "öğrenci okudu"), (0, 1, 0, 0, "NP", "öğrenci"), (0, 2, 1, 0, "NOUN", "öğrenci"), (0, 3, 0, 1, "VP", "okudu"), (0, 4, 3, 0, "VERB", "okudu"),
+    (1, 0, -1, 0, "NP", "büyük ev"), (1, 1, 0, 0, "ADJ", "büyük"), (1, 2, 0, 1, "NOUN", "ev"),
+    (2, 0, -1, 0, "PP", "eve göre"), (2, 1, 0, 0, "NP", "eve"), (2, 2, 1, 0, "NOUN", "eve"), (2, 3, 0, 1, "ADP", "göre"),
+    (3, 0, -1, 0, "CoordP", "kitap ve defter"), (3, 1, 0, 0, "NP", "kitap"), (3, 2, 1, 0, "NOUN", "kitap"), (3, 3, 0, 1, "CCONJ", "ve"), (3, 4, 0, 2, "NP", "defter"), (3, 5, 4, 0, "NOUN", "defter"),
+]
+
+
+@_query(_values_sql("sent_id, node_id, parent_id, ord, tag, surface", _TREES))
+def parse_phrases(spark, sf_dir):
+    texts, lexicon = _plain(spark, 0, 1, 2, 3)
+    return syntax.tree_rows(syntax.parse(texts, lexicon, lexicon)).withColumn("parent_id", F.coalesce("parent_id", F.lit(-1))).drop("governs")
+
+
+#: A conjunction hangs on the first conjunct, a noun on its postposition.
+_ARCS = [
+    (0, 1, "öğrenci", 2, "nsubj"), (0, 2, "okudu", 0, "root"), (1, 1, "büyük", 2, "amod"), (1, 2, "ev", 0, "root"), (2, 1, "eve", 2, "nmod"), (2, 2, "göre", 0, "root"),
+    (3, 1, "kitap", 0, "root"), (3, 2, "ve", 1, "cc"), (3, 3, "defter", 1, "conj"), (4, 1, "Ben", 3, "nsubj"), (4, 2, "eve", 3, "obl"), (4, 3, "gidiyorum", 0, "root"),
+]
+
+
+@_query(_values_sql("sent_id, id, form, head, deprel", _ARCS))
+def dependency_phrases(spark, sf_dir):
+    texts, lexicon = _plain(spark, 0, 1, 2, 3, 4)
+    return syntax.dependency_rows(syntax.parse(texts, lexicon, lexicon)).select("sent_id", "id", "form", "head", "deprel")
+
+
+_ELEMENTS = [
+    (4, "kurallı", "olumlu", "özne", "Ben", 1), (4, "kurallı", "olumlu", "dolaylı tümleç", "eve", 2), (4, "kurallı", "olumlu", "yüklem", "gidiyorum", 3),
+    (5, "kurallı", "olumlu", "özne", "Ali", 1), (5, "kurallı", "olumlu", "belirtili nesne", "kitabı", 2), (5, "kurallı", "olumlu", "yüklem", "okudu", 3),
+    (6, "kurallı", "olumlu", "özne", "Öğrenci", 1), (6, "kurallı", "olumlu", "belirtisiz nesne", "kitap", 2), (6, "kurallı", "olumlu", "yüklem", "okudu", 3),
+    (7, "devrik", "olumlu", "yüklem", "Geldi", 1), (7, "devrik", "olumlu", "özne", "çocuk", 2),
+    (8, "kurallı", "olumsuz", "özne", "Çocuk", 1), (8, "kurallı", "olumsuz", "dolaylı tümleç", "okula", 2), (8, "kurallı", "olumsuz", "yüklem", "gitmedi", 3),
+]
+
+
+@_query(_values_sql("sent_id, yuklem_yeri, olumluluk, label, tokens, head_id", _ELEMENTS))
+def sentence_elements(spark, sf_dir):
+    texts, lexicon = _plain(spark, 4, 5, 6, 7, 8)
+    made = syntax.analyze_sentences(texts, lexicon, lexicon).select("sent_id", "sentence_type.yuklem_yeri", "sentence_type.olumluluk", F.inline("elements"))
+    return made.withColumn("tokens", F.array_join("tokens", " ")).drop("aliases")
+
+
+_LEMMAS = [
+    (0, 0, "öğrenci", "öğrenci"), (0, 1, "okudu", "okumak"), (4, 0, "Ben", "ben"), (4, 1, "eve", "ev"), (4, 2, "gidiyorum", "gitmek"), (7, 0, "Geldi", "gelmek"), (7, 1, "çocuk", "çocuk"),
+    (8, 0, "Çocuk", "çocuk"), (8, 1, "okula", "okul"), (8, 2, "gitmedi", "gitmek"), (9, 0, "Evlerden", "ev"), (9, 1, "çocuklar", "çocuk"), (9, 2, "geldi", "gelmek"),
+]
+
+
+@_query(_values_sql("sent_id, idx, token, lemma", _LEMMAS))
+def lemmas_of_sentences(spark, sf_dir):
+    texts, lexicon = _plain(spark, 0, 4, 7, 8, 9)
+    return lemmatize.lemmatize_text(texts, lexicon, id_col="sent_id").select("sent_id", "idx", "token", "lemma")
+
+
+_SPANS = [(4, 1, "Gözlükçü", "PROPER"), (5, 1, "Ali", "PER"), (5, 2, "Ankara", "LOC"), (6, 1, "Mustafa Kemal Atatürk", "PER")]
+
+
+@_query(_values_sql("sent_id, index, surface, type", _SPANS))
+def entity_names(spark, sf_dir):
+    return entities.tag(_sentences(spark), _lexicon(spark), "sent_id").drop("tokens")
+
+
+_GOLD = [(0, "Biz", "Pron"), (0, "okula", "Noun"), (0, "geldik", "Verb"), (0, ".", "Punc"), (1, "bir", "Det"), (1, "deniz", "Noun"), (1, "gördüm", "Verb"), (2, "Xyz", "Noun"), (2, "gelecekmiş", "Verb")]
+
+
+@_query("SELECT method, 8::BIGINT AS tokens, 8::BIGINT AS covered, 8::BIGINT AS correct, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS covered_accuracy FROM (VALUES ('isolated'), ('rule'), ('hmm')) m(method)")
+def three_ways_seed(spark, sf_dir):
+    rows = [(s, i, w, p) for i, (s, w, p) in enumerate(_GOLD)]
+    gold = spark.createDataFrame(rows, "sent_id int, idx int, token string, gold string")
+    counted = gold.withColumnRenamed("token", "surface").withColumnRenamed("gold", "pos")
+    em, tr = hmm.log_probabilities(hmm.emission_counts(counted), "pos"), hmm.log_probabilities(hmm.transition_counts(counted), "prev")
+    return hmm.evaluate_three_ways(hmm.tag_three_ways(gold, _lexicon(spark), em, tr))
+
+
 # Counting, windows and decoding over whole tables.
 
 
