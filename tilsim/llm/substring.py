@@ -549,8 +549,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             else:
                 texts[tid] = (raw.as_py(), [doc])
         tids, pos, h, begins, end, run = runs_of(marks)
-        cuts = np.flatnonzero(np.diff(tids, prepend=~tids[:1]))
-        where = dict(zip(tids[cuts].tolist(), zip(cuts.tolist(), np.append(cuts[1:], len(tids)).tolist(), strict=True), strict=True))
+        cuts = np.flatnonzero(np.concatenate([[True], tids[1:] != tids[:-1]])) if len(tids) else np.zeros(0, np.int64)
+        where = {} if not len(tids) else dict(zip(tids[cuts].tolist(), zip(cuts.tolist(), np.append(cuts[1:], len(tids)).tolist(), strict=True), strict=True))
         for tid, (raw, owners) in texts.items():
             least_id = min((d for d in owners if d is not None), default=None)
             if len(owners) > 1:
@@ -587,7 +587,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         h, off = _joined(t, "hs", np.uint64), _joined(t, "offs", np.int32)
         row = np.repeat(np.arange(t.num_rows), [len(x) // 4 for x in t["offs"].to_pylist()])
         by = np.argsort(h, kind="stable")
-        edges = np.flatnonzero(np.diff(h[by], prepend=~h[by][:1]))
+        edges = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])) if len(by) else np.zeros(0, np.int64)
         runs = list(zip(t["raw"].to_pylist(), t["tid"].to_pylist(), t["rows"].to_pylist(), t["least_id"].to_pylist(), t["before"].to_pylist(), strict=True))
         out: list[tuple] = []
         for a, b in zip(edges.tolist(), np.append(edges[1:], len(by)).tolist(), strict=True):
