@@ -82,7 +82,7 @@ def test_what_stands_elsewhere_too_costs_less(docs_of):
     once = [(i, prose(i, 120)) for i in range(80)]
     twice = [(100 + i, prose(500 + i // 2, 120)) for i in range(40)]
     docs = docs_of(rng.sample(once + twice, 120))
-    got = {r["doc_id"]: r["bits_per_byte"] for r in ctw.score(docs, folds=4, block_bytes=4000).collect()}
+    got = {r["doc_id"]: r["bits_per_byte"] for r in ctw.score(docs, depth=6, folds=4, block_bytes=4000).collect()}
     low = np.quantile([got[i] for i, _ in once], 0.1)
     caught = np.mean([got[i] < low for i, _ in twice])
     assert caught > 0.35  # chance: 0.1; a quarter of the copies share a fold

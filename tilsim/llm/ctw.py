@@ -17,6 +17,7 @@ weighted apart; every gram's cost goes back the same way to the blocks that have
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from math import lgamma, log, pi
 
 import numpy as np
@@ -176,27 +177,30 @@ def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     return keys, counts, np.split(inverse, np.cumsum([len(k) for k, _ in parts])[:-1])
 
 
-def _trees(t: pa.Table, depth: int, top: int, folds: int) -> tuple[np.ndarray, list[np.ndarray], list[list[Level]]]:
+def _trees(t: pa.Table, depth: int, top: int, folds: int) -> tuple[np.ndarray, list[np.ndarray], Iterator[list[Level]]]:
     """The grams of one context, the place of each blob's grams among them, and for each
-    fold the levels from ``top`` to the full depth without the fold's counts (with one fold:
-    with all counts)."""
+    fold in turn the levels from ``top`` to the full depth without the fold's counts (with
+    one fold: with all counts)."""
     keys, counts, places = _merged(t["grams"].to_pylist())
-    own = np.zeros((folds, len(keys)))
-    if folds > 1:
-        for f, blob, place in zip(t["fold"].to_pylist(), t["grams"].to_pylist(), places, strict=True):
-            own[f, place] += _unpack(blob)[1]
-    out = []
-    for f in range(folds):
-        levels = [bottom(keys, counts - own[f])]
-        for _ in range(depth - top):
-            levels.append(levels[-1].up())
-        out.append(levels[::-1])
-    return keys, places, out
+
+    def levels() -> Iterator[list[Level]]:
+        for f in range(folds):
+            left = counts.astype(np.float64)
+            for k, place in enumerate(places):
+                if folds > 1 and t["fold"][k].as_py() == f:
+                    left[place] -= _unpack(t["grams"][k].as_py())[1]
+            some = left > 0  # grams that the others lack have nothing to say
+            out = [bottom(keys[some], left[some])]
+            for _ in range(depth - top):
+                out.append(out[-1].up())
+            yield out[::-1]
+
+    return keys, places, levels()
 
 
 def _state(level: Level, fold: int) -> pa.Table:
     some = level.zeros + level.ones > 0
-    return pa.table({"fold": pa.array(np.full(int(some.sum()), fold, np.int32)), "node": pa.array(level.node[some].view(np.int64)), "zeros": pa.array(level.zeros[some]), "ones": pa.array(level.ones[some]), "log_w": pa.array(level.log_w[some])})
+    return pa.table({"fold": pa.array(np.full(int(some.sum()), fold, np.int32)), "node": pa.array(level.node[some].view(np.int64)), "zeros": pa.array(level.zeros[some], pa.float64()), "ones": pa.array(level.ones[some], pa.float64()), "log_w": pa.array(level.log_w[some], pa.float64())})
 
 
 _STATE = "fold int, node bigint, zeros double, ones double, log_w double"
@@ -264,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     def first(t: pa.Table) -> pa.Table:
         up = _restored(t).up()
-        return _state(up, t["fold"][0].as_py()).append_column("own", pa.array(up.own))
+        return _state(up, t["fold"][0].as_py()).append_column("own", pa.array(up.own, pa.float64()))
 
     # node at depth 2: nearest byte << 16 | next byte << 8 | decision
     nodes = top.groupBy("context").applyInArrow(second, _STATE)
@@ -279,7 +283,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     def price(t: pa.Table) -> pa.Table:
         keys, places, trees = _trees(t, depth, 2, folds)
         own = t["fold"].to_pylist()
-        out = [costs(keys[p], [*above[f], *trees[f]], depth).astype(np.float32).tobytes() for f, p in zip(own, places, strict=True)]
+        out: list[bytes | None] = [None] * len(own)
+        for f, tree in enumerate(trees):
+            for k, place in enumerate(places):
+                if own[k] == f or folds == 1:
+                    out[k] = costs(keys[place], [*above[f], *tree], depth).astype(np.float32).tobytes()
         return pa.table({"context": t["context"], "block": t["block"], "fold": t["fold"], "bits": pa.array(out, pa.binary())})
 
     def hand_down(t: pa.Table, prices: pa.Table) -> pa.Table:
