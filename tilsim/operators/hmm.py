@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,11 +82,29 @@ def transition_counts(tokens: DataFrame, sentence: str = "sent_id", idx: str = "
     return pairs.select("prev", "next").unionByName(ends).groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def transition_counts_of(sentences: DataFrame, codes: str, states: tuple[str, ...], sentence: str = "sent_id") -> DataFrame:
+    """:func:`transition_counts` of rows that hold their tokens' states in order, each as its
+    place in ``states`` (array<tinyint>). Nothing but a byte a token is shuffled, and no
+    token is sorted; rows of the same sentence go side by side, as their places are equal.
+    """
+    lists = sentences.filter(F.size(codes) > 0).groupBy(sentence).agg(F.collect_list(codes).alias("__l"))
+    longest = F.array_max(F.transform("__l", lambda x: F.size(x)))
+    woven = F.flatten(F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.filter(F.transform("__l", lambda x: F.get(x, i)), lambda c: c.isNotNull())))
+    line = lists.select(F.when(F.size("__l") == 1, F.get("__l", F.lit(0))).otherwise(woven).alias("__c"))
+    outside = F.array(F.lit(-1).cast("tinyint"))
+    pairs = line.select(F.explode(F.arrays_zip(F.concat(outside, "__c").alias("p"), F.concat("__c", outside).alias("n"))).alias("x")).groupBy("x.p", "x.n").agg(F.count(F.lit(1)).alias("n_pairs"))
+    name = lambda c, other: F.when(F.col(c) < 0, other).otherwise(F.get(F.array(*map(F.lit, states)), F.col(c).cast("int")))
+    return pairs.select(name("p", START).alias("prev"), name("n", END).alias("next"), F.col("n_pairs").alias("n"))
+
+
 def log_probabilities(counts: DataFrame, given: str, least: int = 1, smoothing: float = SMOOTHING) -> DataFrame:
-    """ln((n + s) / (sum + distinct x s)) within ``given``, after rows below ``least`` went."""
-    w = Window.partitionBy(given)
+    """ln((n + s) / (sum + distinct x s)) within ``given``, after rows below ``least`` went.
+
+    The sums of each state go to every worker, as a window would gather all its rows."""
     kept = counts.filter(F.col("n") >= least)
-    return kept.withColumn("log_prob", F.log((F.col("n") + smoothing) / (F.sum("n").over(w) + F.count(F.lit(1)).over(w) * smoothing))).drop("n")
+    sums = kept.groupBy(F.col(given).alias("__g")).agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__d"))
+    made = kept.join(F.broadcast(sums), F.col(given).eqNullSafe(F.col("__g")))
+    return made.withColumn("log_prob", F.log((F.col("n") + smoothing) / (F.col("__n") + F.col("__d") * smoothing))).drop("n", "__g", "__n", "__d")
 
 
 def rank_statistical(rows: DataFrame, emission: DataFrame, key: list[str], surface: str = "surface", state: str = "state") -> DataFrame:
@@ -99,55 +119,123 @@ def rank_statistical(rows: DataFrame, emission: DataFrame, key: list[str], surfa
 MOST_TRANSITIONS = 1_000_000
 
 
+#: Of numbers that decoding holds at once.
+_HELD = 1 << 22
+
+
+def _decode(starts: np.ndarray, states: np.ndarray, lps: np.ndarray, hop: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The state of each token, all sentences a step at a time. ``starts``: of the sentences'
+    tokens; ``states`` and ``lps``: a row of candidates each, filled up with -inf;
+    ``hop``: by former and next state."""
+    lengths = np.diff(starts)
+    order = np.argsort(-lengths, kind="stable")
+    first, lengths = starts[:-1][order], lengths[order]
+    back = np.zeros(states.shape, np.int32)
+    before, value = np.full((len(order), 1), start), np.zeros((len(order), 1))
+    last = np.zeros(len(order), np.int64)
+    ends = np.searchsorted(-lengths, -np.arange(lengths[0] + 1 if len(lengths) else 1), side="left")  # longer ones than each place
+
+    def finish(low: int, high: int) -> None:
+        last[low:high] = (value[low:high] + hop[before[low:high], end]).argmax(1)
+
+    for j in range(len(ends) - 1):
+        n = ends[j]
+        if n < len(before):
+            finish(n, len(before))
+        at = first[:n] + j
+        now = states[at]
+        total = value[:n, :, None] + hop[before[:n, :, None], now[:, None, :]]
+        best = total.argmax(1)
+        back[at] = best
+        value = np.take_along_axis(total, best[:, None, :], 1)[:, 0] + lps[at]
+        before = now
+    finish(0, len(before))
+    out = np.zeros(len(states), np.int64)
+    for j in range(len(ends) - 2, -1, -1):
+        n = ends[j]
+        at = first[:n] + j
+        out[at] = states[at, last[:n]]
+        last[:n] = back[at, last[:n]]
+    return out
+
+
+def _merged(lines: pa.Array) -> pa.Array:
+    """Tokens of the same place as one with all their candidates."""
+    out = []
+    for line in lines.to_pylist():
+        places: dict[object, list] = {}
+        for x in line:
+            places.setdefault(x["i"], []).extend(zip(range(len(x["p"])), x["p"], x["lp"], strict=True))
+        out.append([{"i": i, "p": [p for _, p, _ in c], "lp": [lp for *_, lp in c]} for i, all_c in places.items() for c in [sorted(all_c)]])
+    return pa.array(out, lines.type)
+
+
 def viterbi(tokens: DataFrame, emission: DataFrame, transition: DataFrame, sentence: str = "sent_id", idx: str = "idx", surface: str = "surface", candidates: str = "candidates") -> DataFrame:
     """``<sentence>, idx, pos``: the likeliest sequence of states through the candidates.
 
     ``candidates`` holds each token's states in order of first appearance; a token without
-    any stands as the sentence's end and gets null. Emissions come by a join; one Arrow pass
-    over each sentence keeps a pointer back from each state, so it is linear in the tokens.
-    Of equal paths the first stays. More than MOST_TRANSITIONS pairs of states are an error.
+    any stands as the sentence's end and gets null. Emissions come by a join of one row a
+    surface; one Arrow pass goes along all sentences of a batch at once and keeps a pointer
+    back from each state, so it is linear in the tokens. Of equal paths the first stays.
+    More than MOST_TRANSITIONS pairs of states are an error.
     """
     rows = transition.select("prev", "next", "log_prob").limit(MOST_TRANSITIONS + 1).collect()
     if len(rows) > MOST_TRANSITIONS:
         raise ValueError(f"more than {MOST_TRANSITIONS} transitions: these are no states of words")
-    hops: dict[str, dict[str, float]] = {}
+    hops: dict[str, list[tuple[str, float]]] = {}
     for r in rows:
-        hops.setdefault(r["next"], {})[r["prev"]] = r["log_prob"]
+        hops.setdefault(r["prev"], []).append((r["next"], r["log_prob"]))
     cand = F.array_distinct(F.when(F.size(candidates) > 0, F.col(candidates)).otherwise(F.array(F.lit(END))))
-    each = tokens.select(sentence, idx, F.lower(surface).alias("__s"), F.posexplode(cand).alias("__o", "__p"))
-    em = emission.select(F.col("pos").alias("__p"), F.col("surface").alias("__s"), F.col("log_prob").alias("__lp"))
-    each = each.join(em, ["__p", "__s"], "left").withColumn("__lp", F.coalesce("__lp", F.lit(UNKNOWN)))
-    lines = each.groupBy(sentence).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("__o").alias("o"), F.col("__p").alias("p"), F.col("__lp").alias("lp")))).alias("line"))
-
-    def best(before: list[tuple[str, float]], to: str) -> tuple[float, int]:
-        hop = hops.get(to, {})
-        top, at = None, 0
-        for k, (state, lp) in enumerate(before):
-            total = lp + hop.get(state, UNKNOWN)
-            if top is None or total > top:
-                top, at = total, k
-        return top, at
-
-    def walk(line: list[dict]) -> list[dict]:
-        steps: list[tuple[object, list[str], list[int]]] = []
-        before, now = [(START, 0.0)], []
-        for k, x in enumerate(line):
-            lp, at = best(before, x["p"])
-            now.append((x["p"], lp + x["lp"], at))
-            if k + 1 == len(line) or line[k + 1]["i"] != x["i"]:
-                steps.append((x["i"], [p for p, _, _ in now], [a for _, _, a in now]))
-                before, now = [(p, v) for p, v, _ in now], []
-        out, (_, at) = [], best(before, END)
-        for i, states, back in reversed(steps):
-            out.append({"i": i, "pos": None if states[at] == END else states[at]})
-            at = back[at]
-        return out[::-1]
+    each = tokens.select(sentence, idx, F.lower(surface).alias("__s"), cand.alias("__p"))
+    em = emission.groupBy(F.col("surface").alias("__s")).agg(F.collect_list(F.struct("pos", "log_prob")).alias("__e"))
+    of = lambda p: F.coalesce(F.get(F.filter("__e", lambda e: e["pos"] == p), F.lit(0))["log_prob"], F.lit(UNKNOWN))
+    each = each.join(em, "__s", "left").select(sentence, F.struct(F.col(idx).alias("i"), F.col("__p").alias("p"), F.transform("__p", of).alias("lp")).alias("x"))
+    lines = each.groupBy(sentence).agg(F.array_sort(F.collect_list("x")).alias("line"))
+
+    def walk(line: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Offsets of the sentences, and the places and states of all their tokens."""
+        sizes = pc.list_value_length(line).to_numpy(zero_copy_only=False)
+        if len(line) and len(flat := line.flatten()) > 1:
+            i = pc.fill_null(flat.field("i").cast(pa.int64()), -1).to_numpy() if pa.types.is_integer(flat.field("i").type) else np.array(flat.field("i").to_pylist(), object)
+            ends = np.cumsum(sizes)
+            same = i[1:] == i[:-1]
+            same[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(i))] - 1] = False
+            if same.any():
+                line = _merged(line)
+                sizes = pc.list_value_length(line).to_numpy(zero_copy_only=False)
+        flat = line.flatten()
+        starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        counts = pc.list_value_length(flat.field("p")).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = flat.field("p").flatten().dictionary_encode(null_encoding="encode")
+        names = [*coded.dictionary.to_pylist(), START, END]
+        lps = flat.field("lp").flatten().to_numpy(zero_copy_only=False)
+        codes, number = coded.indices.to_numpy(zero_copy_only=False), {x: k for k, x in reversed(list(enumerate(names)))}
+        hop = np.full((len(names), len(names)), UNKNOWN)
+        for a, name in enumerate(names):
+            for to, lp in hops.get(name, ()):
+                if to in number:
+                    hop[a, number[to]] = lp
+        start, end = number[START], number[END]
+        most = int(counts.max(initial=1))
+        wide = np.arange(most) < counts[:, None]
+        found, s = np.zeros(len(counts), np.int64), 0
+        begins = np.concatenate(([0], np.cumsum(counts)))
+        while s < len(line):
+            e = int(np.searchsorted(starts, starts[s] + max(1, _HELD // most), side="right")) - 1
+            e = min(len(line), max(s + 1, min(e, s + max(1, _HELD // most**2))))
+            a, b = starts[s], starts[e]
+            states, values = np.zeros((b - a, most), np.int64), np.full((b - a, most), -np.inf)
+            states[wide[a:b]], values[wide[a:b]] = codes[begins[a] : begins[b]], lps[begins[a] : begins[b]]
+            found[a:b] = _decode(starts[s : e + 1] - a, states, values, hop, start, end)
+            s = e
+        said = pa.array([None if x == END else x for x in names], pa.string())
+        return pa.array(starts.astype(np.int32)), flat.field("i"), said.take(pa.array(found))
 
     kind = lines.schema["line"].dataType.elementType["i"].dataType.simpleString()
 
     def run(all_lines: pa.Array) -> pa.Array:
-        field = all_lines.type.value_type.field("i").type
-        return pa.array([walk(x) for x in all_lines.to_pylist()], pa.list_(pa.struct([("i", field), ("pos", pa.string())])))
+        starts, i, pos = walk(all_lines)
+        return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([i, pos], ["i", "pos"]))
 
     run.__annotations__ = {"all_lines": pa.Array, "return": pa.Array}
     path = F.arrow_udf(run, f"array<struct<i:{kind},pos:string>>")
