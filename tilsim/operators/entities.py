@@ -44,11 +44,13 @@ def tag(texts: DataFrame, roots: DataFrame | None = None, id_col: str = "doc_id"
     becomes a person's with a person's name. ``roots`` tells common words at a beginning.
     """
     toks = texts.select(F.col(id_col), tokenize(F.col(text)).alias("t"))
-    each = toks.select(id_col, "t", F.posexplode("t").alias("i", "tok"))
-    each = each.filter(~F.col("tok").rlike("^['’]"))
-    base = F.element_at(F.split("tok", "['’]"), 1)
+    # only capitals can be names, and most tokens go by that alone; outer, as otherwise the
+    # optimizer's test for empty lists tokenizes every text once more
+    each = toks.select(id_col, "t", F.posexplode_outer("t").alias("i", "tok")).filter(F.col("tok").rlike("^\\p{Lu}"))
+    tok = F.translate("tok", "’", "'")
     after = F.get("t", F.col("i") + 1)
-    each = each.select(id_col, "i", base.alias("base"), (F.col("tok").rlike("['’]") | F.coalesce(after.rlike("^['’]"), F.lit(False))).alias("apos"))
+    apos = F.contains(tok, F.lit("'")) | F.coalesce(F.substr(after, F.lit(1), F.lit(1)).isin("'", "’"), F.lit(False))
+    each = each.select(id_col, "i", F.substring_index(tok, "'", 1).alias("base"), apos.alias("apos"))
     firsts = each.filter("i = 0").select(F.col("base").alias("surface"))
     if roots is None:
         each = each.withColumn("common", F.lit(False))
